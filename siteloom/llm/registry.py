@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siteloom.llm import chat, line_dedup, mixing
+from siteloom.llm import chat, line_dedup, minhash, mixing, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_fingerprints": minhash.op3_fingerprints,
+    "op4_packing": packing.op4_packing,
     "op6_mixing": mixing.op6_mixing,
     "op8_chat_format": chat.op8_chat_format,
 }

@@ -100,10 +100,11 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.
     out = np.zeros(len(where), dtype=np.uint64)
     whole = count[text_of] >= k
     out[whole] = full[where[whole]]
-    for t in np.flatnonzero((count > 0) & (count < k)):
-        a, b = int(bounds[t]), int(bounds[t + 1])
-        x = _U(b - a)
-        for i in range(a, b):
-            x = x * _U(_P) + h[i] * step[i - a]
-        out[out_bounds[t]] = x
+    short = np.flatnonzero((count > 0) & (count < k))
+    if len(short):
+        x = count[short].astype(np.uint64)
+        for i in range(k - 1):
+            more = i < count[short]
+            x = np.where(more, x * _U(_P) + h[np.where(more, bounds[short] + i, 0)] * step[i], x)
+        out[out_bounds[short]] = x
     return mix(out), out_bounds
