@@ -76,7 +76,8 @@ def _without(docs: DataFrame, later: DataFrame, report: bool) -> DataFrame:
     starts = F.filter(p, lambda x, i: (i == 0) | (x > F.get(p, i - 1) + WINDOW))
     ends = F.transform(F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + WINDOW)), lambda x: x + WINDOW - 1)
     spans = F.arrays_zip(starts.alias("first"), ends.alias("last"))
-    out = docs.join(later, docs["doc_id"].eqNullSafe(F.col("_sl_d")) & (F.xxhash64(docs["text"]) == F.col("_sl_t")), "left")
+    # by shuffle at every size: what is removed grows with the input
+    out = docs.join(later.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_sl_d")) & (F.xxhash64(docs["text"]) == F.col("_sl_t")), "left")
     out = out.withColumn("_sl_spans", F.when(p.isNotNull(), spans))
     s, lines = F.col("_sl_spans"), _lines(F.col("text"))
     # what stays: the lines before each span, and those after the last
