@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteloom.llm import chat, line_dedup, minhash, mixing, packing
+from siteloom.llm import chat, langid, line_dedup, minhash, mixing, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op6_mixing": mixing.op6_mixing,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLES = {
