@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siteloom.llm import chat, langid, line_dedup, minhash, mixing, packing
+from siteloom.llm import chat, langid, licenses, line_dedup, minhash, mixing, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_fingerprints": minhash.op3_fingerprints,
     "op4_packing": packing.op4_packing,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_mixing": mixing.op6_mixing,
     "op8_chat_format": chat.op8_chat_format,
     "op9_language_id": langid.op9_language_id,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op5_license_scan": licenses.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }
