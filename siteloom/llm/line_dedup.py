@@ -24,7 +24,7 @@ def _windows(docs: DataFrame) -> DataFrame:
     lines = docs.select(
         F.col("doc_id").alias("_sl_doc"),
         F.xxhash64("text").alias("_sl_text"),
-        F.transform(_lines(F.col("text")), F.trim).alias("l"),
+        F.transform(_lines(F.col("text")), lambda x: F.trim(x)).alias("l"),
     ).where(F.size("l") >= WINDOW)
 
     def window(i: Column) -> Column:

@@ -127,8 +127,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
     )
     out = out.withColumn("_sl_cut", F.explode(copies))
-    head = F.regexp_extract(F.col("text"), F.lit(r"(?s)^.*"), 0)
-    part = F.array_join(F.slice(F.regexp_extract_all(head, F.lit(_WORD), 0), F.lit(1), F.col("_sl_cut").cast("int")), " ")
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(_WORD), F.lit(0)), F.lit(1), F.col("_sl_cut").cast("int")), " ")
     text = F.when(F.col("_sl_cut") < 0, F.col("text")).otherwise(part)
     columns = {c: F.col(c) for c in docs.columns} | {"text": text}
     if "n_chars" in columns:
