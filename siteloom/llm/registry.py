@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siteloom.llm import chat, langid, licenses, line_dedup, minhash, mixing, packing
+from siteloom.llm import chat, html_extract, langid, licenses, line_dedup, minhash, mixing, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_fingerprints": minhash.op3_fingerprints,
     "op4_packing": packing.op4_packing,
     "op5_license_scan": licenses.op5_license_scan,
