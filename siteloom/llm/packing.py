@@ -7,6 +7,7 @@ multiplicities; pieces then find their place from their rank among pieces of the
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,11 +23,12 @@ CAPACITY = 2048
 #: Id put after each document.
 END_ID = 0
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Pieces of one length that are ranked in one group.
 RANK_ROWS = 20_000
 
-_WORKER: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_WORKER: dict[str, tuple] = {}
+_WORD_END = "</w>"
 
 
 def default_tokenizer() -> str:
@@ -35,6 +37,22 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+_LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n\t]|\Z)")
+#: Words of letters that are encoded as one text.
+_TOGETHER = 64
+
+
+def _plain(text: bytes) -> bytes:
+    """The text with fewer different words and the same ids: ASCII letters lower, a stop that ends a word apart.
+
+    Left as it is where a control string might be matched before lowering, or a combining mark composed.
+    """
+    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+        return text
+    return _STOP.sub(rb" \1", text.translate(_LOW))
+
+
 class WordIds:
     """Ids of texts as little-endian uint32 bytes, by a memory of white-space-separated words.
 
@@ -46,19 +64,36 @@ class WordIds:
         from tokenizers import Tokenizer
 
         if path not in _WORKER:
-            _WORKER[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.known = _WORKER[path]
+            tokenizer = Tokenizer.from_file(path)
+            last = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)
+            last[[i for t, i in tokenizer.get_vocab().items() if t.endswith(_WORD_END)]] = True
+            _WORKER[path] = (tokenizer, last, {})
+        self.tokenizer, self.last, self.known = _WORKER[path]
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        texts = [w.decode("utf-8") for w in words]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        groups = [letters[i : i + _TOGETHER] for i in range(0, len(letters), _TOGETHER)]
+        made = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, made, strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):  # a word of letters is one pre-token, and its last id ends a word
+                for i, a, b in zip(group, [0, *ends[:-1]], ends, strict=True):
+                    out[words[i]] = ids[a:b].tobytes()
+        rest = [i for i, w in enumerate(words) if w not in out]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[words[i]] = np.asarray(e.ids, dtype="<u4").tobytes()
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        known, split = self.known, [t.split() for t in texts]
+        known, split = self.known, [_plain(t).split() for t in texts]
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        once: dict[bytes, bytes] = {}
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            for w, e in zip(new, found, strict=True):
-                (known if len(w) <= 64 else once)[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        new = self._learn(list({w for words in split for w in words if w not in known}))
+        once = {w: ids for w, ids in new.items() if len(w) > 64}
+        known.update((w, ids) for w, ids in new.items() if len(w) <= 64)
         if once:
             return [b"".join([once[w] if w in once else known[w] for w in words]) for words in split]
         get = known.__getitem__

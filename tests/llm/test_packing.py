@@ -44,7 +44,7 @@ def test_documents(spark):
 
 
 def test_edges(spark):
-    docs = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "x y"), (4, "word " * 9000), (5, "é̈ ﬁ <|endoftext|>don't\x85İΣΣ  　x 12 <|startoftext|>\x1c#!"), (6, "Z" * 70 + " " + "Z" * 70)]
+    docs = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "x y"), (4, "word " * 9000), (5, "é̈ ﬁ <|endoftext|>don't\x85İΣΣ  　x 12 <|startoftext|>\x1c#!"), (8, "J\u030c E\u0301 End. a,b, x.. don't. Don'S, 3.5. É. é, \u01f0 ΑΣ. <|ENDOFTEXT|>"), (9, "End. a,b, x.. don't. Don'S, 3.5. É. é, \u01f0 ΑΣ ǅ. ªº, Ⅷ ⅷ n°. " * 3), (6, "Z" * 70 + " " + "Z" * 70)]
     frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, piece string")
     used, least = check(packing.pack(spark, frame).collect(), docs)
     assert used == least
