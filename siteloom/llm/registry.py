@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteloom.llm import chat, html_extract, langid, licenses, line_dedup, minhash, mixing, packing
+from siteloom.llm import chat, html_extract, jaccard_join, langid, licenses, line_dedup, minhash, mixing, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_mixing": mixing.op6_mixing,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_chat_format": chat.op8_chat_format,
     "op9_language_id": langid.op9_language_id,
 }
