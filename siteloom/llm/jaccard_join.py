@@ -314,5 +314,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         return scratch.keep(out)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one document of each group of linked ones, the smallest doc_id, once.
+
+    Documents without words and rows of null doc_id stay, once for each text.
+    """
+    found = jaccard_components(spark, docs, words, num, den)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_sl_kept")).distinct()
+    # by shuffle at every size: what is kept grows with the input
+    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_sl_kept"]), "left_semi")
+    return out.withColumn("_sl_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_sl_text"]).drop("_sl_text")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, num=90, den=100)

@@ -200,6 +200,14 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
 
 
+def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` without those that identification rejects, in their own columns."""
+    names = [f"_sl_{i}" for i in range(len(docs.columns))]
+    fixed = {"doc_id": "doc_id", "text": "text", "lang": "lang"}
+    inner = docs.toDF(*(fixed.get(c, n) for c, n in zip(docs.columns, names, strict=True)))
+    return identify(spark, inner).where("not rejected").drop("lang_pred", "score", "rejected").toDF(*docs.columns)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(spark, docs.select("doc_id", "text"), train(docs))

@@ -85,15 +85,14 @@ def _without(docs: DataFrame, later: DataFrame, report: bool) -> DataFrame:
     stops = F.concat(F.transform(s, lambda x: x["first"]), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(begins, stops, lambda a, b: F.slice(lines, a + 1, b - a)))
     text = F.when(s.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(s.isNull(), 0).otherwise(F.aggregate(s, F.lit(0), lambda n, x: n + x["last"] - x["first"] + 1))
+    out = out.select(*(F.col(c) for c in docs.columns if c != "text"), F.col("text").alias("_sl_was"), text.alias("text"), "_sl_spans")
     columns = {c: F.col(c) for c in docs.columns}
-    columns["text"] = text
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(s.isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+        columns["n_chars"] = F.when(s.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     if report:
         columns |= {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "n_removed": removed.cast("long"),
+            "n_lines": F.when(F.col("_sl_was").isNull(), 0).otherwise(F.size(_lines(F.col("_sl_was")))).cast("long"),
+            "n_removed": F.when(s.isNull(), 0).otherwise(F.aggregate(s, F.lit(0), lambda n, x: n + x["last"] - x["first"] + 1)).cast("long"),
             "spans": F.coalesce(s, F.array().cast("array<struct<first:int,last:int>>")),
         }
     return out.select(*(v.alias(k) for k, v in columns.items()))

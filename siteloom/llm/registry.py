@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siteloom.llm import chat, html_extract, jaccard_join, langid, licenses, line_dedup, minhash, mixing, packing
+from siteloom.llm import chat, embedding_dedup, html_extract, jaccard_join, langid, licenses, line_dedup, minhash, mixing, packing
 
 QUERIES = {
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_html_extract": html_extract.op2_html_extract,
     "op3_fingerprints": minhash.op3_fingerprints,
