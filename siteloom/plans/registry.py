@@ -5,11 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from siteloom.plans.relations import BASE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    """Registers a query; ``sql`` goes on from the oracle's relations in ``BASE`` (more CTEs or a SELECT)."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        key = name or f.__name__
+        assert key not in QUERIES, key
+        QUERIES[key] = f
+        if sql is not None:
+            sep = "" if sql.lstrip().startswith(",") else "\n"
+            ORACLES[key] = BASE.rstrip() + sep + sql
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    from siteloom.plans import all_queries  # noqa: F401
+
+    return QUERIES["flagship_tstv_by_contig"](spark, sf_dir)
