@@ -5,7 +5,7 @@ Grammar, loosest first: ``|`` ``||``, ``&`` ``&&``, comparisons and ``~`` ``!~``
 * A comparison with a list is true if any element (any pair for two lists) fits; ``!=`` is the negation of ``=``.
 * ``=`` compares as numbers if both sides are numbers, else as text. A missing value is the text "." and false; ordered
   comparisons with it are false. Every predicate compiles to a boolean that is never null, so that ``!`` of a missing comparison holds.
-* Arithmetic with a missing value or of MIN, MAX, AVG of nothing gives a missing value.
+* Arithmetic with a missing value or a list of several, and MIN, MAX, AVG of nothing, give a missing value.
 * ``GT`` compares with the genotype classes (alt ref mis het hom RR RA AA aA R A hap) or with a genotype's text.
 
 Names are bound by a ``Scope``: columns of a typed frame, or ``info`` and ``samples`` of a frame read from VCF.
@@ -26,7 +26,7 @@ from siteloom.functions import prob
 from siteloom.functions import variants as V
 
 _LEX = re.compile(
-    r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"[^"]*"|'[^']*')|(?P<file>@[\w./-]+)|(?P<name>%?[A-Za-z_][\w./]*)"""
+    r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"[^"]*"|'[^']*')|(?P<file>@[\w./-]+)|(?P<name>(?:(?:INFO|FORMAT|FMT)/|/)?%?[A-Za-z_][\w.]*)"""
     r"""|(?P<op>\|\||&&|==|!=|<=|>=|=~|!~|[-+*/%&|<>=~!()\[\],:]))"""
 )
 _CLASSES = frozenset("alt ref mis het hom A R RR RA AR AA aA Aa HOM HET HAP hap".split())
@@ -304,9 +304,7 @@ class Compiler:
         if op in ("<", "<=", ">", ">="):
             test = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}[op]
             return Value(_pairs(a, b, lambda x, y: test(_number(x, a.kind), _number(y, b.kind))), "bool")
-        if a.many or b.many:
-            raise ExpressionError("arithmetic on a list; take an element or a function of it")
-        x, y = _number(a.column, a.kind), _number(b.column, b.kind)
+        x, y = (F.when(F.size(v.column) == 1, _number(F.get(v.column, F.lit(0)), v.kind)) if v.many else _number(v.column, v.kind) for v in (a, b))
         return Value({"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y), "%": lambda: F.when(y != 0, x % y)}[op](), "num")
 
     def _is_gt(self, n: Node) -> bool:

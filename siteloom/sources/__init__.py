@@ -1,0 +1 @@
+"""Readers and writers of variant files and their companions."""
