@@ -5,13 +5,14 @@ A document's overlap with a group is bounded by how many of its tokens the union
 the bound are opened, that is compared in full. The result is the components of the links.
 
 * Documents with equal sets are one class, of which the smallest doc_id stands for all.
-* Groups begin as classes that share minima of several hash permutations with a leader; the leader is compared in full,
-  and linked classes are one group (a component of links so far). A group of very many near copies is thus one group
-  after a number of comparisons that grows with the copies, not with their pairs.
+* Classes that agree in some minima of hash permutations with a leader, the smallest, are a group of similar documents, linked or not.
+  Each is compared with its leader in full, and what is linked so far is kept in one group.
 * The matrix needs the prefix of each set only, in one order of all tokens, the rare first: two sets with the wanted
   similarity share ``EVIDENCE`` tokens at least of their prefixes, so a query must share so many with a group's union.
   The order is by a fixed-size sketch of counts, over all documents; any order gives the same links.
-* Tokens found in one group only are dropped, and queries are made from the smaller group to the larger.
+* Tokens found in one group only are dropped, and queries are made from the smaller group to the larger. Within a group those
+  ask that aren't yet linked with most of it. So a group of very many near copies costs comparisons that grow with the
+  copies, not with their pairs, and no pair of its documents is ever made as a row.
 * To open a group, its members are dealt out in parts; each query meets each part.
 """
 
@@ -36,7 +37,7 @@ MINIMA, AGREE = 4, 2
 #: log2 of the counters of the sketch, 4 bytes each.
 SKETCH_BITS = 20
 #: Members of a group that are compared at a time, and queries dealt to one copy of them.
-MEMBERS, QUERIES = 256, 1000
+MEMBERS, QUERIES = 512, 1000
 #: log2 of the bits of the filter of wanted ids, at most: 32 MB.
 FILTER_BITS = 28
 #: Rows in an Arrow batch of numbers.
@@ -93,7 +94,7 @@ def token_counts(docs: DataFrame, words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
-            for _, raw, offsets in textvec.chunks(b.column(0), 4 * textvec.CHUNK_BYTES):
+            for _, raw, offsets in textvec.chunks(b.column(0), 2 * textvec.CHUNK_BYTES):
                 h, _ = textvec.shingles(*textvec.words(raw, offsets), words)
                 total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         yield from _slices(np.minimum(total, (1 << 31) - 1).astype("<u4"))
@@ -167,10 +168,10 @@ def _only(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where(may("doc_id"))
 
 
-def _open(scratch: Scratch, docs: DataFrame, asked: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of queries to members of the groups asked for: one for each query and part of a group in which it has any.
+def _open(scratch: Scratch, docs: DataFrame, asked: DataFrame, members: DataFrame, linked: DataFrame | None, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of queries to members of the groups asked for: for each query and part of a group, one to each component that it wasn't in.
 
-    ``asked`` (query, grp), ``members`` (doc_id, grp, size). A part is ``MEMBERS`` members; where more than ``QUERIES`` queries ask
+    ``asked`` (query, grp), ``members`` (doc_id, grp, size), ``linked`` (node, component) so far. A part is ``MEMBERS`` members; where more than ``QUERIES`` queries ask
     for a group, its parts are copied and the queries shared out.
     """
     stats = asked.groupBy("grp").agg(F.count("*").alias("asks"))
@@ -181,26 +182,30 @@ def _open(scratch: Scratch, docs: DataFrame, asked: DataFrame, members: DataFram
     queries = asked.join(shape, "grp").select(F.col("query").alias("doc_id"), "grp", F.lit(1).alias("role"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("pmod(xxhash64(query), copies)").cast("int").alias("copy"))
     rows = scratch.cut(own.union(queries), "dealt")
     texts = _only(scratch, docs, rows.select("doc_id").distinct()).select("doc_id", "text")
-    dealt = rows.join(texts, "doc_id").select("grp", "part", "copy", "role", "doc_id", "text")
+    dealt = rows.join(texts, "doc_id").withColumn("component", F.col("doc_id"))
+    if linked is not None:
+        dealt = dealt.drop("component").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    dealt = dealt.select("grp", "part", "copy", "role", "doc_id", "component", "text")
     dealt = dealt.repartition("grp", "part", "copy").sortWithinPartitions("grp", "part", "copy", "role", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets, flat = None, [], [], None
-        owner = sizes = names = None
+        now, ids, own, sets, flat = None, [], [], [], None
+        owner = sizes = names = comps = None
         for b in batches:
             found: list[tuple[int, int]] = []
             keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-            for key, role, name, s in zip(keys, b.column(3).to_pylist(), b.column(4).to_pylist(), token_sets(b.column(5), words), strict=True):
+            for key, role, name, comp, s in zip(keys, *(b.column(i).to_pylist() for i in (3, 4, 5)), token_sets(b.column(6), words), strict=True):
                 if key != now:
-                    now, ids, sets, flat = key, [], [], None
+                    now, ids, own, sets, flat = key, [], [], [], None
                 if not role:
                     ids.append(name)
+                    own.append(comp)
                     sets.append(s)
                     continue
                 if not ids or not len(s):
                     continue
                 if flat is None:
-                    sizes, names = np.array([len(x) for x in sets]), np.array(ids)
+                    sizes, names, comps = np.array([len(x) for x in sets]), np.array(ids), np.array(own)
                     flat = np.concatenate(sets)
                     order = np.argsort(flat, kind="stable")
                     flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
@@ -208,9 +213,8 @@ def _open(scratch: Scratch, docs: DataFrame, asked: DataFrame, members: DataFram
                 n = hi - lo
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 shared = np.bincount(owner[at], minlength=len(sets))
-                ok = np.flatnonzero((den * shared >= num * (len(s) + sizes - shared)) & (names != name))
-                if len(ok):
-                    found.append((name, int(names[ok[0]])))
+                ok = np.flatnonzero((den * shared >= num * (len(s) + sizes - shared)) & (comps != comp))
+                found += [(name, int(names[ok[i]])) for i in np.unique(comps[ok], return_index=True)[1]]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     small_batches(scratch.spark)
@@ -226,6 +230,23 @@ def _leaders(scratch: Scratch, reps: DataFrame, num: int, den: int) -> DataFrame
     return scratch.cut(met.groupBy(F.col("doc_id").alias("query"), "grp").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE).select("query", "grp"), "leaders")
 
 
+def _groups(scratch: Scratch, reps: DataFrame, led: DataFrame, found: DataFrame) -> DataFrame:
+    """``reps`` with their group, its size and rank, and whether they ask in it: the leader's leader, or the least one among what is linked."""
+    first = led.groupBy(F.col("query").alias("doc_id")).agg(F.min("grp").alias("l1"))
+    second = first.select(F.col("doc_id").alias("l1"), F.col("l1").alias("l2"))
+    near = first.join(second, "l1", "left").select("doc_id", F.coalesce("l2", "l1").alias("lead"))
+    known = near.select("doc_id").union(led.select("grp")).union(found.select("node")).distinct()
+    known = known.join(near, "doc_id", "left").join(found.toDF("doc_id", "component"), "doc_id", "left")
+    known = scratch.cut(known.select("doc_id", F.coalesce("lead", "doc_id").alias("lead"), F.coalesce("component", "doc_id").alias("component")), "known")
+    one = known.groupBy("component").agg(F.min("lead").alias("grp"), F.count("*").alias("many"))
+    shape = one.groupBy("grp").agg(F.sum("many").alias("size"), F.max(F.struct("many", "component"))["component"].alias("most"))
+    known = known.join(one.select("component", "grp"), "component").join(shape, "grp")
+    known = scratch.cut(known.select("doc_id", "grp", "size", (F.col("component") != F.col("most")).alias("asks")), "groups")
+    out = reps.select("doc_id", "n", "prefix").join(known, "doc_id", "left")
+    out = out.select("doc_id", "n", "prefix", F.coalesce("grp", "doc_id").alias("grp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("asks", F.lit(False)).alias("asks"))
+    return out.withColumn("rank", F.floor(F.log2(F.col("size").cast("double"))).cast("long"))
+
+
 def _matrix(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (token, grp, doc_id, n, rank) by token to (query, grp, evidence): who shares the token with which larger group, if sizes allow a link."""
     held: list[np.ndarray] | None = None
@@ -299,14 +320,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         reps = sets.join(classes.toDF("class", "doc_id"), ["class", "doc_id"], "left_semi").dropDuplicates(["class", "doc_id"])
         reps = scratch.cut(reps.select("doc_id", "n", "minima", "prefix"), "reps")
         alone = reps.select("doc_id", F.col("doc_id").alias("grp"), F.lit(1).alias("size"))
-        links = _open(scratch, named, _leaders(scratch, reps, num, den), alone, words, num, den)
-        found = components(scratch, links)
-        sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-        found = scratch.cut(found.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "size"), "groups")
-        grouped = reps.select("doc_id", "n", "prefix").join(found, "doc_id", "left").select("doc_id", "n", "prefix", F.coalesce("component", "doc_id").alias("grp"), F.coalesce("size", F.lit(1)).alias("size"))
-        grouped = grouped.withColumn("rank", F.floor(F.log2(F.col("size").cast("double"))).cast("long"))
-        asked = _asked(scratch, grouped, num, den)
-        more = _open(scratch, named, asked, grouped.select("doc_id", "grp", "size"), words, num, den)
+        led = _leaders(scratch, reps, num, den)
+        links = _open(scratch, named, led, alone, None, words, num, den)
+        linked = scratch.cut(components(scratch, links), "linked")
+        grouped = _groups(scratch, reps, led, linked)
+        asked = _asked(scratch, grouped, num, den).union(grouped.where("asks").select(F.col("doc_id").alias("query"), "grp"))
+        more = _open(scratch, named, asked, grouped.select("doc_id", "grp", "size"), linked, words, num, den)
         found = components(scratch, links.union(more))
         member = sets.select("doc_id", "n", "class").join(classes, "class", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
         out = member.join(found.toDF("rep", "component"), "rep", "left")
