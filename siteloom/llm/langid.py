@@ -21,14 +21,14 @@ from pyspark.sql import types as T
 from siteloom.llm import textvec
 from siteloom.llm.common import small_batches
 
-#: Bounds of the training sample: rows of each language, languages, characters of a training text.
-SAMPLE_ROWS, SAMPLE_LANGS, SAMPLE_CHARS = 1200, 100, 20_000
+#: Bounds of the training sample: rows of each language and in all, languages, characters of a training text.
+SAMPLE_ROWS, SAMPLE_ALL, SAMPLE_LANGS, SAMPLE_CHARS = 600, 6000, 100, 6000
 BUCKETS, DIMENSION, ORDERS = 1 << 16, 16, (2, 3, 4)
 EPOCHS, RATE = 6, 0.5
 #: Rows of the sample that only fit the temperature: one in so many.
 CALIBRATION = 4
-#: A text is rejected if its calibrated score is lower: it is more likely wrong than right.
-REJECT = 0.5
+#: A text is rejected if its calibrated score is lower.
+REJECT = 0.4
 #: The language of a text without letters.
 NONE = "und"
 
@@ -48,7 +48,7 @@ class Model:
         """The language of each text, and its calibrated probability."""
         n, langs = len(texts), max(1, len(self.langs))
         scores, lettered = np.zeros((n, langs)), np.zeros(n, dtype=bool)
-        for at, raw, offsets in textvec.chunks(pc.utf8_lower(texts), max(1 << 14, (1 << 22) // langs)):
+        for at, raw, offsets in textvec.chunks(pc.utf8_lower(texts), max(1 << 14, (1 << 20) // langs)):
             ids, bounds = subwords(raw, offsets)
             size = np.diff(bounds)
             some = np.flatnonzero(size)
@@ -170,12 +170,13 @@ def train(docs: DataFrame) -> Model:
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()
     if not counts:
         return fit([], [])
+    each = min(SAMPLE_ROWS, SAMPLE_ALL // len(counts))
     share = F.lit(-1.0)
     for r in counts:
-        share = F.when(F.col("lang") == r["lang"], float(SAMPLE_ROWS / r["count"])).otherwise(share)
+        share = F.when(F.col("lang") == r["lang"], float(each / r["count"])).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     picked = known.where(draw < share).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("draw"), "doc_id")
-    rows = picked.orderBy("draw", "doc_id", "text").limit(2 * SAMPLE_ROWS * len(counts)).collect()
+    rows = picked.orderBy("draw", "doc_id", "text").limit(2 * each * len(counts)).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

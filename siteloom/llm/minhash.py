@@ -35,7 +35,7 @@ _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
 def signatures(texts: pa.Array) -> np.ndarray:
     """A row of ``PERMUTATIONS`` 16-bit numbers for each text; 65535 throughout for a text without words."""
     out = np.full((len(texts), PERMUTATIONS), 0xFFFF, dtype=np.uint16)
-    for at, raw, offsets in textvec.chunks(texts, 1 << 20):
+    for at, raw, offsets in textvec.chunks(texts):
         h, bounds = textvec.shingles(*textvec.words(raw, offsets), SHINGLE)
         some = np.flatnonzero(np.diff(bounds))
         if not len(some):

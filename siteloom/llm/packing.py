@@ -22,8 +22,8 @@ from siteloom.llm.common import Scratch, small_batches
 CAPACITY = 2048
 #: Id put after each document.
 END_ID = 0
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a Python worker remembers: twice so many at most, those used of late.
+CACHE_WORDS = 250_000
 #: Pieces of one length that are ranked in one group.
 RANK_ROWS = 20_000
 
@@ -67,8 +67,8 @@ class WordIds:
             tokenizer = Tokenizer.from_file(path)
             last = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)
             last[[i for t, i in tokenizer.get_vocab().items() if t.endswith(_WORD_END)]] = True
-            _WORKER[path] = (tokenizer, last, {})
-        self.tokenizer, self.last, self.known = _WORKER[path]
+            _WORKER[path] = (tokenizer, last, {}, {})
+        self.tokenizer, self.last, self.known, self.older = _WORKER[path]
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
@@ -90,8 +90,12 @@ class WordIds:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         known, split = self.known, [_plain(t).split() for t in texts]
         if len(known) > CACHE_WORDS:
+            self.older.clear()
+            self.older.update(known)
             known.clear()
-        new = self._learn(list({w for words in split for w in words if w not in known}))
+        unknown = {w for words in split for w in words if w not in known}
+        known.update((w, self.older[w]) for w in unknown if w in self.older)
+        new = self._learn([w for w in unknown if w not in known])
         once = {w: ids for w, ids in new.items() if len(w) > 64}
         known.update((w, ids) for w, ids in new.items() if len(w) <= 64)
         if once:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed in one go; a longer text is hashed alone, whole.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _P, _PI = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
