@@ -13,7 +13,7 @@ from siteloom.llm.common import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go: those without letters, and those that are more likely wrong than right."""
+    """Documents whose language is rejected go: those without letters, and those of low calibrated score."""
     return langid.accepted(spark, docs)
 
 
