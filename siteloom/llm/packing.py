@@ -8,6 +8,8 @@ multiplicities; pieces then find their place from their rank among pieces of the
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +41,9 @@ def default_tokenizer() -> str:
 
 _LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n\t]|\Z)")
+#: Byte-level letters: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 #: Words of letters that are encoded as one text.
 _TOGETHER = 64
 
@@ -69,11 +74,20 @@ class WordIds:
             last[[i for t, i in tokenizer.get_vocab().items() if t.endswith(_WORD_END)]] = True
             _WORKER[path] = (tokenizer, last, {}, {})
         self.tokenizer, self.last, self.known, self.older = _WORKER[path]
+        self.model = self.tokenizer.model
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
         texts = [w.decode("utf-8") for w in words]
-        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        letters = []
+        for i, t in enumerate(texts):
+            if t.isalpha():
+                # what the normaliser would leave as it is goes to the model itself, as one pre-token of byte letters
+                if t == t.lower() and unicodedata.is_normalized("NFC", t):
+                    found = self.model.tokenize(t if t.isascii() else words[i].decode("latin-1").translate(_BYTE_LETTERS))
+                    out[words[i]] = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+                else:
+                    letters.append(i)
         groups = [letters[i : i + _TOGETHER] for i in range(0, len(letters), _TOGETHER)]
         made = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
         for group, e in zip(groups, made, strict=True):
