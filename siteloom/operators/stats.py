@@ -208,3 +208,80 @@ def sparse(gt: DataFrame, sites: DataFrame, least: int) -> DataFrame:
     called = gt.where(~G.all_missing(F.col("alleles"))).join(sites.select("site_id", "chrom"), "site_id").groupBy("sample", "chrom").agg(F.count("*").alias("n"))
     grid = gt.select("sample").distinct().crossJoin(sites.select("chrom").distinct())  # samples by contigs: the result's own size
     return grid.join(called, ["sample", "chrom"], "left").select("sample", "chrom", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
+
+
+def nearest_rank(values: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """``n`` and for each quantile the value at the rounded rank (n - 1) x q, by distinct values counted first."""
+    d = values.groupBy(by, value).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(by).orderBy(value)
+    d = d.withColumn("_upto", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(by)))
+    at = lambda q: F.min(F.when(F.col("_upto") > F.round((F.col("_n") - 1) * q), F.col(value)))
+    return d.groupBy(by).agg(F.max("_n").alias("n"), *(at(q).alias(k) for k, q in quantiles.items()))
+
+
+def hardy_weinberg(tests: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Quartiles of the exact test's P (site_id, hwe) by bins of a hundredth of the minor allele's frequency (site_id, af)."""
+    minor = F.least("af", 1 - F.col("af"))
+    d = tests.join(frequencies.where("af is not null"), "site_id").withColumn("bin", F.least(F.floor(100 * minor), F.lit(49)).cast("int"))
+    return nearest_rank(d, "bin", "hwe", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+
+
+def sample_indels(gt: DataFrame, frames: DataFrame, sites: DataFrame) -> DataFrame:
+    """By sample: carried first-ALT indels in and out of frame and outside exons; insertions and deletions, heterozygous and homozygous."""
+    s = exploded_alts(sites).where("class = 'indel' and nth = 0").select("site_id", (F.length("alt") > F.length("ref")).alias("ins"))
+    d = gt.join(s, "site_id").join(frames.where("nth = 0").select("site_id", "frame"), "site_id").where(F.exists("alleles", lambda a: a == 1))
+    het = (F.size("alleles") == 2) & ~F.forall("alleles", lambda a: a.eqNullSafe(F.lit(1)))
+    ins = F.col("ins")
+    return d.groupBy("sample").agg(
+        F.count_if(F.col("frame") == "in").alias("in_frame"), F.count_if(F.col("frame") == "out").alias("out_frame"), F.count_if(F.col("frame") == "na").alias("not_applicable"),
+        F.count_if(ins & het).alias("ins_het"), F.count_if(ins & ~het).alias("ins_hom"), F.count_if(~ins & het).alias("del_het"), F.count_if(~ins & ~het).alias("del_hom"),
+    )
+
+
+def frequency_deviation(observed: DataFrame, af: DataFrame, bins: int) -> DataFrame:
+    """Histogram of the difference between each site's ``af`` and the observed one, in single precision."""
+    d = observed.where("an > 0").select("site_id", (F.col("ac") / F.col("an")).cast("float").alias("o")).join(af, "site_id")
+    gap = F.abs(F.col("o") - F.col("af").cast("float")).cast("double")
+    return d.groupBy(F.least(F.floor(gap * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def length_histogram(sites: DataFrame) -> DataFrame:
+    """Indel lengths (deletions negative) of all ALTs."""
+    d = exploded_alts(sites).where("class = 'indel'")
+    return d.groupBy((F.length("alt") - F.length("ref")).alias("length")).agg(F.count("*").alias("n"))
+
+
+def repeat_unit(context: str, at: int, unit: int) -> int:
+    """How many times the ``unit`` bases after index ``at`` repeat there without a break."""
+    word, n = context[at : at + unit], 0
+    while word and context[at + n * unit : at + (n + 1) * unit] == word:
+        n += 1
+    return n
+
+
+def indel_context(ref: str, alt: str, context: str, at: int) -> tuple[int, int, bool]:
+    """(unit, times, consistent) of the longest tandem repeat of 1 to 10 bases right of an indel whose first base is at index ``at``; consistent if the indel is whole units of it."""
+    best = (0, 0)
+    for unit in range(1, 11):
+        n = repeat_unit(context, at + 1, unit)
+        if n > 1 and n * unit > best[0] * best[1]:
+            best = (unit, n)
+    changed = alt[1:] if len(alt) > len(ref) else ref[1:]
+    unit = context[at + 1 : at + 1 + best[0]]
+    whole = best[0] > 0 and len(changed) % best[0] == 0 and changed == unit * (len(changed) // best[0])
+    return best[0], best[1], whole
+
+
+def indel_contexts(sites: DataFrame) -> DataFrame:
+    """(times, ins, ok, n): indels by repeats of their context; ``sites`` carry ``base``, the reference from their position on."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            made = [indel_context(r, a, c or "", 0) for r, a, c in zip(p["ref"], p["alt"], p["base"], strict=True)]
+            yield pd.DataFrame({"times": [min(10, m[1]) for m in made], "ok": [m[2] for m in made], "ins": [len(a) > len(r) for r, a in zip(p["ref"], p["alt"], strict=True)]})
+
+    d = exploded_alts(sites).where("class = 'indel'").select("ref", "alt", "base")
+    return d.mapInPandas(run, "times int, ok boolean, ins boolean").where("times >= 2").groupBy("times", "ins", "ok").agg(F.count("*").alias("n"))

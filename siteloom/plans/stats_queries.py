@@ -214,3 +214,41 @@ def computed_maf(spark: SparkSession, d: str) -> DataFrame:
     t = T.fill_tags(genotypes(spark, d)).where("an > 0")
     mac = F.least(F.col("ac"), F.col("an") - F.col("ac"))
     return t.select("site_id", "an", "ac", (mac / F.col("an")).alias("maf")).where("maf > 0.25")
+
+
+@query()
+def stats_hwe(spark: SparkSession, d: str) -> DataFrame:
+    g = genotypes(spark, d)
+    return S.hardy_weinberg(T.fill_hwe(g), T.fill_tags(g).select("site_id", "af"))
+
+
+@query("""SELECT CAST(a AS INT) AS grp, n, p25, p50, p75 FROM (SELECT gq // 25 AS a, count(*) AS n, list_sort(list(dp))[1 + CAST(floor((count(*) - 1) * 0.25 + 0.5) AS INT)] AS p25,
+  list_sort(list(dp))[1 + CAST(floor((count(*) - 1) * 0.5 + 0.5) AS INT)] AS p50, list_sort(list(dp))[1 + CAST(floor((count(*) - 1) * 0.75 + 0.5) AS INT)] AS p75 FROM gt GROUP BY 1)""")
+def nearest_rank_depth(spark: SparkSession, d: str) -> DataFrame:
+    v = genotypes(spark, d).select(F.floor(F.col("gq") / 25).cast("int").alias("grp"), "dp")
+    return S.nearest_rank(v, "grp", "dp", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+
+
+@query(_FRAME + """, c AS (SELECT g.sample, o.frame, s.kind = 'ins' AS ins, ploidy = 2 AND NOT (coalesce(a0 = 1, false) AND coalesce(a1 = 1, false)) AS het FROM gt g JOIN site s ON g.site_id = s.site_id JOIN o ON o.site_id = g.site_id WHERE a0 = 1 OR a1 = 1)
+SELECT sample, count(*) FILTER (frame = 'in') AS in_frame, count(*) FILTER (frame = 'out') AS out_frame, count(*) FILTER (frame = 'na') AS not_applicable, count(*) FILTER (ins AND het) AS ins_het, count(*) FILTER (ins AND NOT het) AS ins_hom,
+  count(*) FILTER (NOT ins AND het) AS del_het, count(*) FILTER (NOT ins AND NOT het) AS del_hom FROM c GROUP BY sample""")
+def stats_psi(spark: SparkSession, d: str) -> DataFrame:
+    s = sites(spark, d)
+    return S.sample_indels(genotypes(spark, d), S.frameshifts(s, regions(spark, d)), s)
+
+
+@query(", n AS (SELECT site_id, count(a) AS an, count(*) FILTER (a > 0) AS ac FROM al GROUP BY site_id), g AS (SELECT abs(CAST(CAST(ac AS DOUBLE) / an AS FLOAT) - CAST((site_id % 8) / 8.0 AS FLOAT)) AS gap FROM n WHERE an > 0) SELECT CAST(least(floor(CAST(gap AS DOUBLE) * 10), 9) AS INT) AS bin, count(*) AS n FROM g GROUP BY 1")
+def af_deviation(spark: SparkSession, d: str) -> DataFrame:
+    af = sites(spark, d).select("site_id", ((F.col("site_id") % 8) / 8.0).alias("af"))
+    return S.frequency_deviation(T.fill_tags(genotypes(spark, d)), af, 10)
+
+
+@query("SELECT CAST(CASE kind WHEN 'ins' THEN 2 ELSE -2 END AS INT) AS length, count(*) AS n FROM site WHERE kind IN ('ins', 'del') GROUP BY 1")
+def indel_length_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return S.length_histogram(sites(spark, d))
+
+
+@query()
+def indel_contexts(spark: SparkSession, d: str) -> DataFrame:
+    s = sites(spark, d).withColumn("base", F.concat("ref", F.repeat(F.lit("TT"), (F.col("site_id") % 6).cast("int")), F.lit("ACAC")))
+    return S.indel_contexts(s)
