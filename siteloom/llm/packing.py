@@ -25,7 +25,7 @@ CAPACITY = 2048
 #: Id put after each document.
 END_ID = 0
 #: Words whose ids a Python worker remembers: twice so many at most, those used of late.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 #: Pieces of one length that are ranked in one group.
 RANK_ROWS = 20_000
 
@@ -40,7 +40,7 @@ def default_tokenizer() -> str:
 
 
 _LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n\t]|\Z)")
+_TAILED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 #: Byte-level letters: printable bytes stand for themselves, the others for the characters from 256 on, in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
@@ -49,13 +49,13 @@ _TOGETHER = 64
 
 
 def _plain(text: bytes) -> bytes:
-    """The text with fewer different words and the same ids: ASCII letters lower, a stop that ends a word apart.
+    """The text with fewer different words and the same ids: ASCII letters lower.
 
     Left as it is where a control string might be matched before lowering, or a combining mark composed.
     """
     if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
         return text
-    return _STOP.sub(rb" \1", text.translate(_LOW))
+    return text.translate(_LOW)
 
 
 class WordIds:
@@ -78,6 +78,13 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
+        # letters before a run of ASCII punctuation without apostrophe: a pre-token each
+        cut = [(w, m) for w in words if w[-1] < 97 and (m := _TAILED.fullmatch(w)) and m[1].decode("utf-8").isalpha()]
+        if cut:
+            ends = self._learn([x for x in {m[i] for _, m in cut for i in (1, 2)} if x not in self.known])
+            get = lambda x: ends[x] if x in ends else self.known[x]
+            out.update((w, get(m[1]) + get(m[2])) for w, m in cut)
+            words = [w for w in words if w not in out]
         texts = [w.decode("utf-8") for w in words]
         letters = []
         for i, t in enumerate(texts):
@@ -102,20 +109,24 @@ class WordIds:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        known, split = self.known, [_plain(t).split() for t in texts]
+        known, words, ends = self.known, [], []
         if len(known) > CACHE_WORDS:
             self.older.clear()
             self.older.update(known)
             known.clear()
-        unknown = {w for words in split for w in words if w not in known}
-        known.update((w, self.older[w]) for w in unknown if w in self.older)
-        new = self._learn([w for w in unknown if w not in known])
-        once = {w: ids for w, ids in new.items() if len(w) > 64}
-        known.update((w, ids) for w, ids in new.items() if len(w) <= 64)
-        if once:
-            return [b"".join([once[w] if w in once else known[w] for w in words]) for words in split]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for t in texts:
+            words += _plain(t).split()
+            ends.append(len(words))
+        parts = list(map(known.get, words))
+        gaps = [i for i, ids in enumerate(parts) if ids is None]
+        if gaps:
+            unknown = {words[i] for i in gaps}
+            found = {w: self.older[w] for w in unknown if w in self.older}
+            found |= self._learn([w for w in unknown if w not in found])
+            known.update((w, ids) for w, ids in found.items() if len(w) <= 64)
+            for i in gaps:
+                parts[i] = found[words[i]]
+        return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _cut_pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
