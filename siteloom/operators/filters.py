@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import genotypes as G
 from siteloom.functions import variants as V
 from siteloom.operators.intervals import overlaps
+from siteloom.operators.windows import islands, running
 
 
 def site_span(mode: str) -> tuple[Column, Column]:
@@ -134,22 +135,21 @@ def snp_gap(sites: DataFrame, gap: int, types: tuple[str, ...] = ("indel",), nam
     """Adds ``name`` to SNPs within ``gap`` bases of a site of ``types``, by the nearest ends on both sides."""
     s = sites.withColumn("_k", _gap_class(F.col("ref"), F.col("alts"))).withColumn("_end", F.col("pos") + F.length("ref") - 1)
     here = F.col("_k").isin(*types)
-    order = Window.partitionBy("chrom").orderBy("pos")
-    before = F.max(F.when(here, F.col("_end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(here, F.col("pos"))).over(order.rangeBetween(0, Window.unboundedFollowing))
-    near = (F.col("pos") - before <= gap) | (after - F.col("_end") <= gap)
-    return soft_filter(s, ~((F.col("_k") == "snp") & F.coalesce(near, F.lit(False))), name, "+").drop("_k", "_end")
+    s = running(s, "_before", F.when(here, F.col("_end")), "max")
+    # the nearest one from here on: the same from the other end
+    s = s.withColumn("_back", -F.col("pos")).withColumn("_last", -F.col("site_id"))
+    s = running(s, "_after", F.when(here, F.col("_back")), "max", order=("_back", "_last"))
+    near = (F.col("pos") - F.col("_before") <= gap) | (-F.col("_after") - F.col("_end") <= gap)
+    return soft_filter(s, ~((F.col("_k") == "snp") & F.coalesce(near, F.lit(False))), name, "+").drop("_k", "_end", "_before", "_after", "_back", "_last")
 
 
 def indel_gap(sites: DataFrame, gap: int, name: str = "IndelGap") -> DataFrame:
     """Of indels chained by gaps of at most ``gap`` bases the best stays: highest QUAL above 0, else the first; others get ``name``."""
-    s = sites.withColumn("_indel", _gap_class(F.col("ref"), F.col("alts")) == "indel").withColumn("_end", F.col("pos") + F.length("ref") - 1)
-    order = Window.partitionBy("chrom", "_indel").orderBy("pos", "site_id")
-    reach = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("_new", F.when(F.col("pos") - reach <= gap, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(order))
-    best = Window.partitionBy("chrom", "_indel", "_chain").orderBy(F.greatest(F.coalesce("qual", F.lit(0.0)), F.lit(0.0)).desc(), "pos", "site_id")
-    s = s.withColumn("_nth", F.row_number().over(best))
-    return soft_filter(s, ~F.col("_indel") | (F.col("_nth") == 1), name, "+").drop("_indel", "_end", "_new", "_chain", "_nth")
+    s = sites.withColumn("_indel", _gap_class(F.col("ref"), F.col("alts")) == "indel")
+    d = islands(s.where("_indel").withColumn("_end", F.col("pos") + F.length("ref") - 1), "_chain", F.col("_end"), gap)
+    best = Window.partitionBy("chrom", "_chain").orderBy(F.greatest(F.coalesce("qual", F.lit(0.0)), F.lit(0.0)).desc(), "pos", "site_id")
+    d = soft_filter(d.withColumn("_nth", F.row_number().over(best)), F.col("_nth") == 1, name, "+")
+    return d.select(*sites.columns).union(s.where("not _indel").select(*sites.columns))
 
 
 def gt_subset(sites: DataFrame, gt: DataFrame, samples: list[str]) -> DataFrame:

@@ -194,15 +194,15 @@ def pair_bias(gt: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def split_at_breaks(blocks: DataFrame) -> DataFrame:
     """Blocks (input, chrom, pos, end) of several inputs, cut at each other's starts and ends: (chrom, start, end, inputs)."""
-    from siteloom.operators.windows import running
+    from siteloom.operators.windows import following, running
 
     ends = blocks.select("chrom", F.explode(F.array(F.col("pos"), F.col("end") + 1)).alias("pos")).distinct().withColumn("site_id", F.lit(0))
     d = F.when(F.col("s") == 1, 1).otherwise(-1)
     moves = blocks.select("chrom", F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.lit(1).alias("s")), F.struct((F.col("end") + 1).alias("pos"), F.lit(0).alias("s")))).alias("m")).select("chrom", "m.pos", "m.s")
     net = moves.groupBy("chrom", "pos").agg(F.sum(d).alias("d")).withColumn("site_id", F.lit(0))
     depth = running(net, "depth", F.col("d"), "sum", order=("pos",)).select("chrom", "pos", "depth")
-    w = Window.partitionBy("chrom").orderBy("pos")
-    return ends.join(depth, ["chrom", "pos"]).select("chrom", F.col("pos").alias("start"), (F.lead("pos").over(w) - 1).alias("end"), "depth").where("depth > 0")
+    d = following(ends.drop("site_id"), "_next").join(depth, ["chrom", "pos"])
+    return d.select("chrom", F.col("pos").alias("start"), (F.col("_next") - 1).alias("end"), "depth").where("depth > 0")
 
 
 def ld_r2(gt: DataFrame, sites: DataFrame, window: int) -> DataFrame:

@@ -34,6 +34,15 @@ def running(df: DataFrame, name: str, value: Column, how: str = "sum", by: tuple
     return out.withColumn(name, both).drop("_seg", "_v", "_r", "_c")
 
 
+def following(df: DataFrame, name: str, by: tuple[str, ...] = ("chrom",), pos: str = "pos") -> DataFrame:
+    """Adds ``name``: the next row's position within ``by``; null after the last. Segments exchange their first positions."""
+    at = df.withColumn("_seg", _segment(F.col(pos)))
+    later = at.groupBy(*by, "_seg").agg(F.min(pos).alias("_lo"))
+    later = later.select(*by, "_seg", F.lead("_lo").over(Window.partitionBy(*by).orderBy("_seg")).alias("_after"))
+    inside = F.lead(pos).over(Window.partitionBy(*by, "_seg").orderBy(pos))
+    return at.withColumn("_in", inside).join(later, [*by, "_seg"]).withColumn(name, F.coalesce("_in", "_after")).drop("_seg", "_in", "_after")
+
+
 def islands(df: DataFrame, name: str, end: Column, gap: int = 0, by: tuple[str, ...] = ("chrom",), order: tuple[str, ...] = ("pos", "site_id")) -> DataFrame:
     """Numbers chains of spans: a row begins a new one if it starts more than ``gap`` past the furthest end so far."""
     d = running(df, "_reach", end, "max", by, order, inclusive=False)
