@@ -114,3 +114,24 @@ def compile_template(text: str, df: DataFrame, scope: E.Scope | None = None) ->
 def render_sites(sites: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``line``: the template rendered for each site."""
     return sites.select(*keep, compile_template(text, sites).alias("line"))
+
+
+def header_row(text: str, samples: list[str] = (), numbered: bool = True) -> str:
+    """The line of column names of a template, ``#[1]CHROM ...``; sample loops are written out for each sample."""
+    n = 0
+
+    def name(m: re.Match, sample: str | None) -> str:
+        nonlocal n
+        if m["esc"]:
+            return _ESCAPES[m["esc"]]
+        if m[0] == "%%":
+            return "%"
+        n += 1
+        what = m["tag"] or f"{m['call']}({m['arg']})"
+        return (f"[{n}]" if numbered else "") + (f"{sample}:{what}" if sample else what)
+
+    out = []
+    for i, piece in enumerate(re.split(r"[\[\]]", text)):
+        for s in samples if i % 2 else [None]:
+            out.append(_TOKEN.sub(lambda m, s=s: name(m, s), piece))
+    return "#" + "".join(out)

@@ -227,3 +227,79 @@ def worst_consequence(rows: DataFrame, column: str, fields: list[str], keep: tup
 def expand_blocks(blocks: DataFrame) -> DataFrame:
     """Reference blocks (chrom, pos, end) to a row for each base."""
     return blocks.withColumn("pos", F.explode(F.sequence(F.col("pos"), F.col("end"))))
+
+
+def rename_annotations(sites: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``INFO/a`` to ``b``, ``FILTER/a`` to ``b``, ``FORMAT/a`` to ``b`` on frames read from VCF."""
+    kinds = {k: {o.partition("/")[2]: n for o, n in names.items() if o.startswith(k + "/")} for k in ("INFO", "FILTER", "FORMAT")}
+
+    def renamed(c: Column, pairs: dict[str, str]) -> Column:
+        for old, new in pairs.items():
+            c = F.when(c == old, new).otherwise(c)
+        return c
+
+    out = sites
+    if kinds["INFO"]:
+        out = out.withColumn("info", F.transform_keys("info", lambda k, _: renamed(k, kinds["INFO"])))
+    if kinds["FILTER"]:
+        out = out.withColumn("filters", F.transform("filters", lambda x: renamed(x, kinds["FILTER"])))
+    if kinds["FORMAT"]:
+        out = out.withColumn("format", F.transform("format", lambda x: renamed(x, kinds["FORMAT"])))
+        out = out.withColumn("samples", F.transform("samples", lambda s: s.withField("fmt", F.transform_keys(s["fmt"], lambda k, _: renamed(k, kinds["FORMAT"])))))
+    return out
+
+
+def keep_tags(sites: DataFrame, info: list[str] | None = None, fmt: list[str] | None = None) -> DataFrame:
+    """Only the listed INFO and FORMAT tags, on frames read from VCF."""
+    out = sites
+    if info is not None:
+        out = out.withColumn("info", F.map_filter("info", lambda k, _: k.isin(*info)))
+    if fmt is not None:
+        out = out.withColumn("format", F.filter("format", lambda k: k.isin(*fmt))).withColumn("samples", F.transform("samples", lambda s: s.withField("fmt", F.map_filter(s["fmt"], lambda k, _: k.isin(*fmt)))))
+    return out
+
+
+def rename_samples(gt: DataFrame, names: dict[str, str]) -> DataFrame:
+    pairs = gt.sparkSession.createDataFrame(list(names.items()), "sample string, _new string")
+    return gt.join(F.broadcast(pairs), "sample", "left").withColumn("sample", F.coalesce("_new", "sample")).select(*gt.columns)  # as large as the list given
+
+
+def local_alleles(pl: Column, n_alt: Column, most: int) -> Column:
+    """The ``most`` ALTs of highest probability in a sample's phred-scaled likelihoods, in order of index; the lower of equal ones."""
+    p = F.transform(pl, lambda x: F.pow(F.lit(10.0), -x / 10))
+
+    def weight(i: Column) -> Column:
+        with_i = F.transform(F.sequence(F.lit(0), n_alt), lambda j: F.coalesce(F.get(p, V.genotype_index(i, j)), F.lit(0.0)))
+        return F.aggregate(with_i, F.lit(0.0), lambda s, x: s + x)
+
+    scored = F.transform(F.sequence(F.lit(1), n_alt), lambda i: F.struct((-weight(i)).alias("w"), i.alias("i")))
+    best = F.slice(F.array_sort(scored), 1, most)
+    return F.when(n_alt > 0, F.array_sort(F.transform(best, lambda x: x["i"]))).otherwise(F.array().cast("array<int>"))
+
+
+def trim_record(sites: DataFrame, numbers: dict[str, str]) -> DataFrame:
+    """ALTs that some sample has, on frames read from VCF; genotypes take their new indices, and vectors of declared Number A, R or G their slots.
+
+    ``numbers``: ``INFO/X`` or ``FORMAT/X`` to its Number. AC and AN are written anew.
+    """
+    used = F.array_distinct(F.flatten(F.transform("samples", lambda s: s["alleles"])))
+    kept = F.filter(F.sequence(F.lit(0), F.size("alts")), lambda i: (i == 0) | F.array_contains("_used", i))
+    d = sites.withColumn("_used", used).withColumn("_kept", kept)
+    index = lambda a: F.when(F.array_contains("_kept", a), F.array_position("_kept", a).cast("int") - 1)
+
+    def vector(kind: str, k: Column, v: Column) -> Column:
+        out = v
+        for tag, number in numbers.items():
+            where, _, name = tag.partition("/")
+            if where == kind and number in ("A", "R", "G"):
+                out = F.when(k == name, F.transform(pick_by_number(v, F.col("_kept"), number), lambda x: F.coalesce(x, F.lit(".")))).otherwise(out)
+        return out
+
+    d = d.withColumn("samples", F.transform("samples", lambda s: s.withField("alleles", F.transform(s["alleles"], index)).withField("fmt", F.transform_values(s["fmt"], lambda k, v: vector("FORMAT", k, v)))))
+    d = d.withColumn("info", F.transform_values("info", lambda k, v: vector("INFO", k, v)))
+    d = d.withColumn("alts", F.transform(F.filter("_kept", lambda i: i > 0), lambda i: F.get("alts", i - 1)))
+    all_called = F.filter(F.flatten(F.transform("samples", lambda s: s["alleles"])), lambda a: a.isNotNull())
+    d = d.withColumn("_all", all_called)
+    ac = F.transform("alts", lambda _, i: F.size(F.filter("_all", lambda a: a == i + 1)).cast("string"))
+    fresh = F.map_from_arrays(F.array(F.lit("AC"), F.lit("AN")), F.array(ac, F.array(F.size("_all").cast("string"))))
+    return d.withColumn("info", F.map_concat(F.map_filter("info", lambda k, _: ~k.isin("AC", "AN")), fresh)).drop("_used", "_kept", "_all")
