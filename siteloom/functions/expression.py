@@ -26,9 +26,10 @@ from siteloom.functions import prob
 from siteloom.functions import variants as V
 
 _LEX = re.compile(
-    r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"[^"]*"|'[^']*')|(?P<file>@[\w./-]+)|(?P<name>(?:(?:INFO|FORMAT|FMT)/|/)?%?[A-Za-z_][\w.]*)"""
+    r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<file>@[\w./-]+)|(?P<name>(?:(?:INFO|FORMAT|FMT)/|/)?%?[A-Za-z_][\w.]*)"""
     r"""|(?P<op>\|\||&&|==|!=|<=|>=|=~|!~|[-+*/%&|<>=~!()\[\],:]))"""
 )
+_ESCAPED, _ESCAPES = re.compile(r"\\(.)"), {"t": "\t", "n": "\n", "r": "\r", "\\": "\\", '"': '"', "'": "'"}
 _CLASSES = frozenset("alt ref mis het hom A R RR RA AR AA aA Aa HOM HET HAP hap".split())
 _BINARY = {"|": 1, "||": 1, "&": 2, "&&": 2, **dict.fromkeys(("=", "==", "!=", "<", "<=", ">", ">=", "~", "=~", "!~"), 3), "+": 4, "-": 4, "*": 5, "/": 5, "%": 5}
 _UNARY = 6
@@ -97,7 +98,7 @@ def parse(text: str) -> Node:
         if kind == "num":
             return Node("num", float(value))
         if kind == "str":
-            return Node("str", value[1:-1])
+            return Node("str", _ESCAPED.sub(lambda m: _ESCAPES.get(m[1], m[0]), value[1:-1]))
         if kind == "file":
             return Node("file", value[1:])
         if kind == "name":

@@ -1,14 +1,12 @@
-"""Exact tests and probability helpers: numpy kernels, with Arrow UDFs where no built-in expresses them."""
+"""Exact tests and probability helpers, as column expressions; the plain functions beside them say what they compute."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 PHRED = 4.34294481903
@@ -56,28 +54,62 @@ def hwe_value(n_ref: int, n_alt: int, n_het: int) -> tuple[float, float]:
     return float(min(1.0, p[p <= p[at] * (1 + 1e-12)].sum())), float(p[at:].sum())
 
 
-def _udf(f, *columns: Column) -> Column:  # noqa: ANN001
-    @pandas_udf("double")
-    def run(*x: pd.Series) -> pd.Series:
-        return pd.Series([None if any(pd.isna(v) for v in row) else f(*row) for row in zip(*x, strict=True)], dtype="float64")
+def _steps(n: Column) -> Column:
+    """1 to n, empty for n below 1."""
+    return F.when(n >= 1, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    return run(*(c.cast("double") for c in columns))
+
+def _weights(n: Column, ratio, slack: float) -> Column:  # noqa: ANN001
+    """Walking ``n`` steps from a case of weight 1, each ``ratio`` of the last: the sum of all weights, and of those not above 1."""
+    zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("every"), F.lit(0.0).alias("few"))
+
+    def step(acc: Column, i: Column) -> Column:
+        w = acc["w"] * ratio(i).cast("double")
+        return F.struct(w.alias("w"), (acc["every"] + w).alias("every"), (acc["few"] + F.when(w <= 1 + slack, w).otherwise(0.0)).alias("few"))
+
+    return F.aggregate(_steps(n), zero, step)
 
 
 def binom_two_sided(a: Column, b: Column) -> Column:
-    return _udf(binom_two_sided_value, a, b)
+    """As ``binom_two_sided_value``, in built-in expressions."""
+    a, b = a.cast("int"), b.cast("int")
+    n, k = a + b, F.least(a, b)
+    log_ways = F.aggregate(_steps(k), F.lit(0.0), lambda s, i: s + F.ln((n - k + i) / i))
+    top = F.exp(log_ways - n * math.log(2))
+    below = _weights(k, lambda i: (k - i + 1) / (n - k + i), 0.0)["every"]
+    p = F.least(F.lit(1.0), 2 * top * (1 + below))
+    return F.when(a.isNull() | b.isNull(), None).when(n == 0, -1.0).when(a == b, 1.0).otherwise(p)
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return _udf(fisher_value, a, b, c, d)
+    """As ``fisher_value``: tables are weighed against the one seen, step by step in both directions."""
+    a, b, c, d = (x.cast("double") for x in (a, b, c, d))
+    up = _weights(F.least(b, c), lambda i: (b - i + 1) * (c - i + 1) / ((a + i) * (d + i)), 1e-7)
+    down = _weights(F.least(a, d), lambda i: (a - i + 1) * (d - i + 1) / ((b + i) * (c + i)), 1e-7)
+    return F.when(a + b + c + d > 0, (1 + up["few"] + down["few"]) / (1 + up["every"] + down["every"])).when(a + b + c + d == 0, 1.0)
+
+
+def _hardy_weinberg(n_ref: Column, n_alt: Column, n_het: Column) -> tuple[Column, Column, Column, Column]:
+    rare, h = F.least(n_ref, n_alt).cast("double"), n_het.cast("double")
+    both = F.floor((n_ref + n_alt) / 2).cast("double")
+    r = (rare - h) / 2
+    c = both - h - r
+    up = _weights(r, lambda i: 4 * (r - i + 1) * (c - i + 1) / ((h + 2 * i) * (h + 2 * i - 1)), 1e-12)
+    down = _weights(F.floor(h / 2), lambda i: (h - 2 * i + 2) * (h - 2 * i + 1) / (4 * (r + i) * (c + i)), 1e-12)
+    odd = (rare == 0) | (h > rare) | ((rare - h) % 2 != 0)
+    return up, down, odd, 1 + up["every"] + down["every"]
 
 
 def hwe(n_ref: Column, n_alt: Column, n_het: Column) -> Column:
-    return _udf(lambda a, b, c: hwe_value(a, b, c)[0], n_ref, n_alt, n_het)
+    """P of the exact test, as ``hwe_value``."""
+    up, down, odd, total = _hardy_weinberg(n_ref, n_alt, n_het)
+    return F.when(odd, 1.0).otherwise((1 + up["few"] + down["few"]) / total)
 
 
 def exc_het(n_ref: Column, n_alt: Column, n_het: Column) -> Column:
-    return _udf(lambda a, b, c: hwe_value(a, b, c)[1], n_ref, n_alt, n_het)
+    """P of so many heterozygotes or more."""
+    up, _, odd, total = _hardy_weinberg(n_ref, n_alt, n_het)
+    return F.when(odd, 1.0).otherwise((1 + up["every"]) / total)
 
 
 def phred(p: Column) -> Column:

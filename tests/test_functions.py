@@ -108,14 +108,56 @@ def brute_fisher(a, b, c, d):
     return sum(v for v in p.values() if v <= p[a]) / math.comb(n, s)
 
 
-def test_exact_tests():
+def test_exact_tests(spark):
     for t in [(3, 1, 1, 3), (10, 0, 2, 8), (0, 0, 3, 4), (5, 5, 5, 5), (1, 9, 11, 3)]:
         assert prob.fisher_value(*t) == pytest.approx(brute_fisher(*t))
     assert prob.binom_two_sided_value(0, 0) == -1 and prob.binom_two_sided_value(4, 4) == 1
     assert prob.binom_two_sided_value(1, 5) == pytest.approx(2 * (1 + 6) / 64)
+    rng = __import__("random").Random(3)
+    tables = [tuple(rng.randint(0, 30) for _ in range(4)) for _ in range(60)] + [(0, 0, 0, 0), (2000, 1500, 1400, 1900), (0, 9, 0, 4)]
+    d = spark.createDataFrame(tables, "a int, b int, c int, d int")
+    c = F.col
+    got = d.select("a", "b", "c", "d", prob.fisher_two_sided(c("a"), c("b"), c("c"), c("d")).alias("f"), prob.binom_two_sided(c("a"), c("b")).alias("t"), prob.hwe(c("a") + c("b"), c("c") + c("d"), c("c")).alias("h"), prob.exc_het(c("a") + c("b"), c("c") + c("d"), c("c")).alias("e")).collect()
+    for r in got:
+        assert r["f"] == pytest.approx(prob.fisher_value(*r[:4]), rel=1e-6, abs=1e-12) and r["t"] == pytest.approx(prob.binom_two_sided_value(r["a"], r["b"]), rel=1e-6, abs=1e-12)
+        assert [r["h"], r["e"]] == pytest.approx(prob.hwe_value(r["a"] + r["b"], r["c"] + r["d"], r["c"]), rel=1e-6, abs=1e-12)
     # all heterozygote counts of 6 rare alleles in 10 people
     w = {h: 2**h * math.factorial(10) // (math.factorial(h) * math.factorial((6 - h) // 2) * math.factorial(10 - h - (6 - h) // 2)) for h in (0, 2, 4, 6)}
     for h in w:
         p, tail = prob.hwe_value(14, 6, h)
         assert p == pytest.approx(sum(v for v in w.values() if v <= w[h]) / sum(w.values()))
         assert tail == pytest.approx(sum(v for k, v in w.items() if k >= h) / sum(w.values()))
+
+
+def line_frame(spark, fmt, samples, info="."):
+    from siteloom.sources import vcf
+    from siteloom.sources.header import parse_header
+
+    names = [f"S{i}" for i in range(len(samples))]
+    head = parse_header(["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(names)])
+    line = "\t".join(["1", "9", ".", "A", "C,G", "60", "PASS", info, fmt, *samples])
+    return vcf.parse_lines(spark.createDataFrame([(line, 0)], "value string, ord long"), head)
+
+
+@pytest.mark.parametrize(
+    "fmt,samples,info,text,want",
+    [
+        ("DP", ["4", "12", "."], ".", "FMT/DP[1]>10", True), ("DP", ["4", "12", "."], ".", "COUNT(FMT/DP[*]>10)=1", True),
+        ("GT:DP", ["0/1:12", "0/0:22", "./.:3"], ".", "N_PASS(FMT/DP>10)=2", True), ("GT:DP", ["0/1:12", "0/0:22", "./.:3"], ".", 'N_PASS(GT!="0/0" && DP>=10)=1', True),
+        ("GT:DP", ["0/1:12", "0/0:22", "./.:3"], ".", "QUAL=60 && N_PASS(FORMAT/DP>10)=2", True), ("GT:DP", ["0/1:12", "0/0:22", "./.:3"], ".", "F_PASS(FMT/DP>10)>0.666 & F_PASS(FMT/DP>10)<0.667", True),
+        ("GT:DP", ["0/1:12", "0/0:22", "./.:3"], ".", "F_MISSING>0.33 & F_MISSING<0.34", True), ("GT:DP", ["0/1:12", "0/0:22", "./.:3"], ".", 'F_PASS(GT="mis")<0.34', True),
+        ("GT:DP:GQ", ["0/1:12:99", "0/0:3:25"], ".", "FMT/GQ=25 | FMT/DP=10", True), ("GT:DP:GQ", ["0/1:12:99", "0/0:3:25"], ".", "FMT/DP=4 | FMT/GQ=12", False),
+        *(("GT", ["0/0", "0/1", "1/1", "1/2", "2"], ".", f'GT="{c}"', c != "R") for c in "R A RR RA AR AA aA Aa HOM HET HAP".split()), ("GT", ["0/1"], ".", 'GT="HAP"', False),
+        ("AD:FR", ["1,11:1,11", "2,11:2,12"], ".", "AD[:1]=11", True), ("AD:FR", ["1,11:1,11", "2,11:2,12"], ".", "AD[1:]=11", True), ("AD:FR", ["1,11:1,11", "2,11:2,12"], ".", "FR[0:1]=11", True), ("AD:FR", ["1,11:1,11", "2,11:2,12"], ".", "FR[1:1]=11", False),
+        ("GT", ["0/0"], "AD=3,9", "MIN(AD)=3 && MAX(AD)=9", True), ("GT", ["0/0"], "AD=3,9", "0 && UNKNOWN>1", False), ("GT", ["0/0"], "AD=3,9", "SMPL_SUM(AD)=12 & sAVG(AD)=6 & MEAN(AD)=6 & MEDIAN(AD)=6 & sSTDEV(AD)=3", True),
+        ("GT", ["0/0"], "D=-4;P=0.01", "ABS(D)=4 & PHRED(P)>19.999 & PHRED(P)<20.001", True), ("GT", ["0/0"], "C=1X4M,1X3M1X", "STRLEN(C[0])=4 & STRLEN(C[*])=6", True), ("GT", ["0/0"], "C=1X4M,1X3M1X", "STRLEN(C[*])=2", False),
+        ("GT", ["0/0"], "AD=10,2", "binom(AD)>0.0385742 & binom(AD)<0.0385743 & phred(binom(10,2))>14.136 & phred(binom(10,2))<14.138", True), ("GT", ["0/0"], "X=1,9,11,3;F=1,11;R=9,3", "fisher(X)>0.00275945 & fisher(X)<0.00275946 & fisher(F,R)>0.00275945 & fisher(F,R)<0.00275946", True),
+        ("GT", ["0/0"], "T=a b", "T='a b'", True), ("GT", ["0/0"], "X=1", "!(X < -1.5e-2)", True),
+    ],
+)
+def test_known_expressions(spark, fmt, samples, info, text, want):
+    assert line_frame(spark, fmt, samples, info).where(E.compile_filter(text, E.vcf_scope())).count() == int(want)
+
+
+def test_text_escapes():
+    assert E.parse(r"'a\tb'").value == "a\tb" and E.parse(r'"\d\""').value == r'\d"'
