@@ -13,6 +13,7 @@ from siteloom.operators import models as M
 from siteloom.operators import windows as W
 from siteloom.plans.registry import query
 from siteloom.plans.relations import genotypes, second_input, sites
+from siteloom.plans.stats_queries import FISHER
 
 TRIOS = [("S1", "S2", "S3"), ("S4", "S5", "S6")]
 
@@ -152,9 +153,9 @@ def switch_rate(spark: SparkSession, d: str) -> DataFrame:
     return J.switch_rate(t.where(full("child") & full("father") & full("mother")), s, s.select("site_id"))
 
 
-@query()
+@query(", t AS (SELECT x.site_id, CAST(x.sample_id // 2 AS INT) AS pair, x.ad0 AS a, x.ad1 AS b, y.ad0 AS c, y.ad1 AS d FROM gt x JOIN gt y ON x.site_id = y.site_id AND y.sample_id = x.sample_id + 1 WHERE x.sample_id IN (1, 3))" + FISHER.format(keys="site_id, pair"))
 def ad_bias(spark: SparkSession, d: str) -> DataFrame:
-    return J.pair_bias(genotypes(spark, d), [("S1", "S2"), ("S3", "S4")])
+    return J.pair_bias(genotypes(spark, d), [("S1", "S2"), ("S3", "S4")]).withColumn("p", F.round("p", 6))
 
 
 @query()

@@ -128,9 +128,16 @@ def fill_tags_by_pop(spark: SparkSession, d: str) -> DataFrame:
     return T.fill_tags(g, ("site_id", "pop"))
 
 
-@query()
+_HWE = """, g AS (SELECT site_id, (a0 = 0)::INT + (a1 = 0)::INT AS r, (a0 > 0)::INT + (a1 > 0)::INT AS v, ((a0 = 0) <> (a1 = 0))::INT AS h FROM gt WHERE ploidy = 2 AND a0 IS NOT NULL AND a1 IS NOT NULL),
+s AS (SELECT site_id, CAST(least(sum(r), sum(v)) AS INT) AS rare, CAST(sum(r) + sum(v) AS INT) // 2 AS n, CAST(sum(h) AS INT) AS h FROM g GROUP BY site_id),
+w AS (SELECT *, list_transform(range(rare % 2, rare + 1, 2), lambda k: [k, exp(k * ln(2) - lgamma(k + 1) - lgamma((rare - k) // 2 + 1) - lgamma(n - k - (rare - k) // 2 + 1))]) AS ws, exp(h * ln(2) - lgamma(h + 1) - lgamma((rare - h) // 2 + 1) - lgamma(n - h - (rare - h) // 2 + 1)) AS w0 FROM s)
+SELECT site_id, CASE WHEN rare = 0 OR h > rare OR (rare - h) % 2 <> 0 THEN 1.0::DOUBLE ELSE round(list_sum(list_transform(list_filter(ws, lambda x: x[2] <= w0 * (1 + 1e-9)), lambda x: x[2])) / list_sum(list_transform(ws, lambda x: x[2])), 6) END AS hwe,
+  CASE WHEN rare = 0 OR h > rare OR (rare - h) % 2 <> 0 THEN 1.0::DOUBLE ELSE round(list_sum(list_transform(list_filter(ws, lambda x: x[1] >= h), lambda x: x[2])) / list_sum(list_transform(ws, lambda x: x[2])), 6) END AS exc_het FROM w"""
+
+
+@query(_HWE)
 def fill_hwe(spark: SparkSession, d: str) -> DataFrame:
-    return T.fill_hwe(genotypes(spark, d))
+    return T.fill_hwe(genotypes(spark, d)).select("site_id", F.round("hwe", 6).alias("hwe"), F.round("exc_het", 6).alias("exc_het"))
 
 
 @query("SELECT site_id, sample, CASE WHEN ad0 + ad1 > 0 THEN CAST(ad1 AS DOUBLE) / CAST(ad0 + ad1 AS DOUBLE) END AS vaf1 FROM gt")
@@ -184,10 +191,18 @@ def contrast_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.contrast(genotypes(spark, d), ["S1", "S2", "S3"], ["S4", "S5", "S6"])
 
 
-@query()
+#: Fisher's P of a 2x2 table (a, b, c, d) of a relation t, for the oracles.
+FISHER = """, e AS (SELECT *, a + b + c + d AS n FROM t),
+w AS (SELECT *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda x: exp(lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1)
+  - lgamma(n + 1) + lgamma(a + c + 1) + lgamma(b + d + 1))) AS ps, exp(lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1) + lgamma(c + d + 1) - lgamma(c + 1) - lgamma(d + 1) - lgamma(n + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p0 FROM e)
+SELECT {keys}, round(list_sum(list_filter(ps, lambda p: p <= p0 * (1 + 1e-7))), 6) AS p FROM w
+"""
+
+
+@query(", x AS (SELECT site_id, a, sample_id <= 3 AS ca FROM al WHERE a IS NOT NULL AND sample_id <= 6), t AS (SELECT site_id, count(*) FILTER (ca AND a = 0) AS a, count(*) FILTER (ca AND a > 0) AS b, count(*) FILTER (NOT ca AND a = 0) AS c, count(*) FILTER (NOT ca AND a > 0) AS d FROM x GROUP BY site_id)" + FISHER.format(keys="site_id"))
 def contrast_p(spark: SparkSession, d: str) -> DataFrame:
     c = S.contrast(genotypes(spark, d), ["S1", "S2", "S3"], ["S4", "S5", "S6"])
-    return c.select("site_id", prob.fisher_two_sided(F.col("case_ref"), F.col("case_alt"), F.col("control_ref"), F.col("control_alt")).alias("p"))
+    return c.select("site_id", prob.fisher_two_sided(F.col("case_ref"), F.col("case_alt"), F.col("control_ref"), F.col("control_alt")).alias("p")).withColumn("p", F.round("p", 6))
 
 
 @query(""", p AS (SELECT site_id, CASE WHEN gq < 40 THEN 0.75 ELSE 0.25 END AS p0, 0.125 AS p1, CASE WHEN gq < 40 THEN 0.125 ELSE 0.625 END AS p2 FROM gt),
