@@ -82,7 +82,14 @@ def merge_missing_to_ref(spark: SparkSession, d: str) -> DataFrame:
     return g.select("site_id", "sample", F.size(G.called(F.col("alleles"))).alias("n_called"), F.size(F.filter("alleles", lambda a: a > 0)).alias("n_alt"))
 
 
-@query()
+@query(""", u AS (SELECT *, 0 AS input FROM site UNION ALL SELECT *, 1 FROM site2), l AS (SELECT chrom, pos, max(length(ref)) AS n FROM u GROUP BY chrom, pos),
+h AS (SELECT u.chrom, u.pos, max(u.ref) AS ref FROM u JOIN l ON u.chrom = l.chrom AND u.pos = l.pos AND length(u.ref) = l.n GROUP BY u.chrom, u.pos),
+g AS (SELECT u.*, h.ref AS top, bool_and(starts_with(h.ref, u.ref)) OVER (PARTITION BY u.chrom, u.pos) AS fit FROM u JOIN h ON u.chrom = h.chrom AND u.pos = h.pos),
+r AS (SELECT *, CASE WHEN fit THEN '' ELSE input || ' ' || site_id END AS part, CASE WHEN fit THEN top ELSE ref END AS mref FROM g),
+a AS (SELECT chrom, pos, part, mref, input, site_id, unnest(range(len(alts))) AS i, unnest(alts) AS x, ref FROM r),
+p AS (SELECT chrom, pos, part, mref, CASE WHEN starts_with(x, '<') THEN x ELSE x || substr(mref, length(ref) + 1) END AS x, min(input * 1e12 + site_id * 10 + i) AS o FROM a GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT chrom, pos, part, string_agg(x, ',' ORDER BY o) AS alt FROM p GROUP BY chrom, pos, part), n AS (SELECT chrom, pos, part, mref, count(*) AS n_inputs FROM r GROUP BY chrom, pos, part, mref)
+SELECT n.chrom, n.pos, n.mref AS ref, coalesce(s.alt, '') AS alt, CAST(n.n_inputs AS INT) AS n_inputs FROM n LEFT JOIN s ON n.chrom = s.chrom AND n.pos = s.pos AND n.part = s.part""")
 def merge_union_alts(spark: SparkSession, d: str) -> DataFrame:
     m = J.merge_alleles(both(spark, d))
     return m.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), F.size("maps").alias("n_inputs"))
@@ -287,14 +294,20 @@ def trio_dnm(spark: SparkSession, d: str) -> DataFrame:
     return M.de_novo_posterior(J.trio_rows(M.with_likelihoods(genotypes(spark, d)), TRIOS[:1]), M.with_likelihoods(genotypes(spark, d)), TRIOS[0])
 
 
-@query()
+@query(""", f AS (SELECT site_id, CAST(count(*) FILTER (a > 0) AS DOUBLE) / count(a) AS q FROM al WHERE a IS NOT NULL GROUP BY site_id),
+p AS (SELECT sample, CASE WHEN ploidy = 2 AND (a0 > 0) <> (a1 > 0) THEN 0.01 WHEN a0 > 0 THEN q * 0.99 ELSE (1 - q) * 0.99 END AS hap, CASE WHEN ploidy = 2 AND (a0 > 0) <> (a1 > 0) THEN 2 * q * (1 - q) WHEN a0 > 0 THEN q * q ELSE (1 - q) * (1 - q) END AS dip
+  FROM gt g JOIN f ON g.site_id = f.site_id WHERE q > 0 AND q < 1 AND a0 IS NOT NULL AND (ploidy = 1 OR a1 IS NOT NULL))
+SELECT sample, count(*) AS n, round(avg(ln(hap)), 6) AS haploid, round(avg(ln(dip)), 6) AS diploid, CASE WHEN avg(ln(hap)) > avg(ln(dip)) THEN 'M' WHEN avg(ln(hap)) < avg(ln(dip)) THEN 'F' ELSE 'U' END AS sex FROM p GROUP BY sample""")
 def guess_ploidy_gt(spark: SparkSession, d: str) -> DataFrame:
-    return M.guess_ploidy(genotypes(spark, d))
+    return M.guess_ploidy(genotypes(spark, d)).withColumn("haploid", F.round("haploid", 6)).withColumn("diploid", F.round("diploid", 6))
 
 
-@query()
+@query(_TRIO + """, o AS (SELECT t.site_id, f0 = 1 AS father, g.ad0 AS r, g.ad1 AS v FROM t JOIN gt g ON g.site_id = t.site_id AND g.sample_id = 1 WHERE trio = 0 AND ((f0 = 1 AND f1 = 1 AND m0 = 0 AND m1 = 0) OR (f0 = 0 AND f1 = 0 AND m0 = 1 AND m1 = 1)))
+SELECT CAST(0 AS INT) AS trio, count(*) AS n, round(sum(CASE WHEN father THEN v * ln(2 / 3.0::DOUBLE) + r * ln(1 - 2 / 3.0::DOUBLE) ELSE v * ln(1 / 3.0::DOUBLE) + r * ln(1 - 1 / 3.0::DOUBLE) END), 6) AS paternal,
+  round(sum(CASE WHEN father THEN v * ln(1 / 3.0::DOUBLE) + r * ln(1 - 1 / 3.0::DOUBLE) ELSE v * ln(2 / 3.0::DOUBLE) + r * ln(1 - 2 / 3.0::DOUBLE) END), 6) AS maternal FROM o""")
 def parental_origin(spark: SparkSession, d: str) -> DataFrame:
-    return M.parental_origin(J.trio_rows(genotypes(spark, d), TRIOS[:1]), genotypes(spark, d), TRIOS[0][0])
+    out = M.parental_origin(J.trio_rows(genotypes(spark, d), TRIOS[:1]), genotypes(spark, d), TRIOS[0][0])
+    return out.withColumn("paternal", F.round("paternal", 6)).withColumn("maternal", F.round("maternal", 6))
 
 
 @query()

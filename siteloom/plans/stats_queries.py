@@ -231,10 +231,12 @@ def computed_maf(spark: SparkSession, d: str) -> DataFrame:
     return t.select("site_id", "an", "ac", (mac / F.col("an")).alias("maf")).where("maf > 0.25")
 
 
-@query()
+@query(_HWE.replace("SELECT site_id, CASE", ", q AS (SELECT site_id, CASE", 1) + """), m AS (SELECT site_id, CAST(count(*) FILTER (a > 0) AS DOUBLE) / count(a) AS af FROM al WHERE a IS NOT NULL GROUP BY site_id),
+b AS (SELECT CAST(least(floor(100 * least(af, 1 - af)), 49) AS INT) AS bin, hwe FROM q JOIN m ON q.site_id = m.site_id), l AS (SELECT bin, count(*) AS n, list_sort(list(hwe)) AS ps FROM b GROUP BY bin)
+SELECT bin, n, ps[1 + CAST(floor((n - 1) * 0.25 + 0.5) AS INT)] AS p25, ps[1 + CAST(floor((n - 1) * 0.5 + 0.5) AS INT)] AS p50, ps[1 + CAST(floor((n - 1) * 0.75 + 0.5) AS INT)] AS p75 FROM l""")
 def stats_hwe(spark: SparkSession, d: str) -> DataFrame:
     g = genotypes(spark, d)
-    return S.hardy_weinberg(T.fill_hwe(g), T.fill_tags(g).select("site_id", "af"))
+    return S.hardy_weinberg(T.fill_hwe(g).withColumn("hwe", F.round("hwe", 6)), T.fill_tags(g).select("site_id", "af"))
 
 
 @query("""SELECT CAST(a AS INT) AS grp, n, p25, p50, p75 FROM (SELECT gq // 25 AS a, count(*) AS n, list_sort(list(dp))[1 + CAST(floor((count(*) - 1) * 0.25 + 0.5) AS INT)] AS p25,
