@@ -207,13 +207,11 @@ def split_at_breaks(blocks: DataFrame) -> DataFrame:
 
 def ld_r2(gt: DataFrame, sites: DataFrame, window: int) -> DataFrame:
     """(a, b, r2) of sites of a contig at most ``window`` bases apart, from called ALT copies of shared samples."""
-    from siteloom.operators.windows import with_neighbours
-
-    s = sites.select("site_id", "chrom", "pos")
-    near = with_neighbours(s, window)
-    mine = near.where("_own").select(F.col("site_id").alias("a"), "chrom", "_part", F.col("pos").alias("pa"))
-    theirs = near.select(F.col("site_id").alias("b"), "chrom", "_part", F.col("pos").alias("pb"))
-    pairs = mine.join(theirs, ["chrom", "_part"]).where("(pb > pa or (pb = pa and b > a)) and pb - pa <= %d" % window).select("a", "b")
+    # a pair meets in the first one's bin of the window's length; the second is in that bin or the next
+    at = F.floor(F.col("pos") / window)
+    mine = sites.select(F.col("site_id").alias("a"), "chrom", at.alias("_bin"), F.col("pos").alias("pa"))
+    theirs = sites.select(F.col("site_id").alias("b"), "chrom", F.explode(F.array(at, at - 1)).alias("_bin"), F.col("pos").alias("pb"))
+    pairs = mine.join(theirs, ["chrom", "_bin"]).where("(pb > pa or (pb = pa and b > a)) and pb - pa <= %d" % window).select("a", "b")
     n = gt.where(~G.any_missing(F.col("alleles"))).select("site_id", "sample", F.size(F.filter("alleles", lambda x: x > 0)).alias("x"))
     d = pairs.join(n.toDF("a", "sample", "x"), "a").join(n.toDF("b", "sample", "y"), ["b", "sample"])
     m = d.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
