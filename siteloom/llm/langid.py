@@ -2,12 +2,15 @@
 
 Subwords are the byte n-grams of the lower-cased text, with digits and ASCII punctuation as
 spaces. For prediction embeddings and output weights are multiplied out into one table of
-logits by bucket, so that a text's logits are a mean over its subwords; whole texts are read.
+logits by bucket, so that a text's logits are a mean over its subwords; whole texts are read. With more languages than
+dimensions the two are kept apart, so that the table does not grow with the languages. Training texts and their features lie
+in files of the driver, so that its memory does not grow with the sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,16 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteloom.llm import textvec
-from siteloom.llm.common import small_batches
+from siteloom.llm.common import Scratch, small_batches
 
-#: Bounds of the training sample: rows of each language and in all, languages, characters of a training text.
-SAMPLE_ROWS, SAMPLE_ALL, SAMPLE_LANGS, SAMPLE_CHARS = 600, 6000, 100, 6000
+#: Bounds of the training sample: rows of each language, characters of a training text.
+SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
 BUCKETS, DIMENSION, ORDERS = 1 << 16, 16, (2, 3, 4)
 EPOCHS, RATE = 6, 0.5
 #: Rows of the sample that only fit the temperature: one in so many.
 CALIBRATION = 4
-#: A text is rejected if its calibrated score is lower.
-REJECT = 0.4
+#: A text is rejected if its calibrated score is lower: it is more likely wrong than right.
+REJECT = 0.5
 #: The language of a text without letters.
 NONE = "und"
 
@@ -41,19 +44,22 @@ _LETTER = regex.compile(r"\p{L}")
 class Model:
     langs: list[str]
     logits: np.ndarray
-    """By bucket and language, divided by the temperature."""
+    """By bucket and language, divided by the temperature; by bucket and dimension if there is ``out``."""
     bias: np.ndarray
+    out: np.ndarray | None = None
+    """By dimension and language."""
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language of each text, and its calibrated probability."""
-        n, langs = len(texts), max(1, len(self.langs))
-        scores, lettered = np.zeros((n, langs)), np.zeros(n, dtype=bool)
-        for at, raw, offsets in textvec.chunks(pc.utf8_lower(texts), max(1 << 14, (1 << 20) // langs)):
+        n, width = len(texts), self.logits.shape[1]
+        scores, lettered = np.zeros((n, max(1, len(self.langs)))), np.zeros(n, dtype=bool)
+        for at, raw, offsets in textvec.chunks(pc.utf8_lower(texts), max(1 << 14, (1 << 20) // width)):
             ids, bounds = subwords(raw, offsets)
             size = np.diff(bounds)
             some = np.flatnonzero(size)
             if len(some) and self.langs:
-                scores[at + some] = np.add.reduceat(self.logits[ids], bounds[some], axis=0) / size[some, None]
+                mean = np.add.reduceat(self.logits[ids], bounds[some], axis=0) / size[some, None]
+                scores[at + some] = mean if self.out is None else mean @ self.out
             ascii_letter, other = ((raw >= 97) & (raw <= 122)), raw >= 128
             for mark, sure in ((ascii_letter, True), (other, False)):
                 upto = np.concatenate([[0], np.cumsum(mark)])
@@ -102,26 +108,70 @@ def subwords(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, bounds
 
 
-def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for _, raw, offsets in textvec.chunks(pc.utf8_lower(pa.array(texts, pa.large_string()))):
-        ids, bounds = subwords(raw, offsets)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            found, n = np.unique(ids[a:b], return_counts=True)
-            out.append((found, (n / max(1, b - a)).astype(np.float32)))
-    return out
+class _Spool:
+    """Byte strings in a temporary file, appended and read by number; only their places are in memory."""
 
+    def __init__(self) -> None:
+        self._file, self._ends = tempfile.TemporaryFile(), [0]
 
-def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
+    def append(self, item: bytes) -> None:
+        self._file.seek(self._ends[-1])
+        self._file.write(item)
+        self._ends.append(self._ends[-1] + len(item))
+
+    def __len__(self) -> int:
+        return len(self._ends) - 1
+
+    def __getitem__(self, i: int) -> bytes:
+        self._file.seek(self._ends[i])
+        return self._file.read(self._ends[i + 1] - self._ends[i])
+
+
+class _Texts(_Spool):
+    def append(self, text: str) -> None:
+        super().append(text.encode())
+
+    def __getitem__(self, i: int) -> str:
+        if i >= len(self):
+            raise IndexError(i)
+        return super().__getitem__(i).decode()
+
+
+class _Features(_Spool):
+    """Buckets of texts with their weights."""
+
+    def extend(self, texts: Iterable[str]) -> None:
+        held: list[str] = []
+        for t in texts:
+            held.append(t)
+            if len(held) == 64:
+                self._add(held)
+                held = []
+        self._add(held)
+
+    def _add(self, texts: list[str]) -> None:
+        for _, raw, offsets in textvec.chunks(pc.utf8_lower(pa.array(texts, pa.large_string()))):
+            ids, bounds = subwords(raw, offsets)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                found, n = np.unique(ids[a:b], return_counts=True)
+                self.append(found.tobytes() + (n / max(1, b - a)).astype(np.float32).tobytes())
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = super().__getitem__(i)
+        return np.frombuffer(raw, np.uint32, len(raw) // 8), np.frombuffer(raw, np.float32, offset=len(raw) // 2)
+
+
+def fit(texts: Sequence[str], labels: list[str], seed: int = 7) -> Model:
     """Fits embeddings and softmax to whole texts and to short parts of them, then the temperature to rows left out."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
     rng = np.random.default_rng(seed)
-    y = np.array([langs.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(langs)}
+    y = np.array([number[x] for x in labels])
     kept = np.arange(len(y)) % CALIBRATION != 0 if len(y) >= 20 * CALIBRATION else np.ones(len(y), bool)
-    data: list[tuple[tuple[np.ndarray, np.ndarray], int]] = list(zip(_features([t for t, k in zip(texts, kept, strict=True) if k]), y[kept], strict=True))
-    parts, part_y = [], []
+    data, parts, part_y = _Features(), _Texts(), []
+    data.extend(t for t, k in zip(texts, kept, strict=True) if k)
     for t, label in zip(texts, y, strict=True):
         w = t.split()
         if len(w) > 4:
@@ -130,14 +180,14 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             parts.append(" ".join(w[at : at + size]))
             part_y.append(label)
     part_kept = rng.random(len(parts)) < 1 - 1 / CALIBRATION
-    made = _features(parts)
-    data += [(f, label) for f, label, k in zip(made, part_y, part_kept, strict=True) if k]
+    data.extend(t for t, k in zip(parts, part_kept, strict=True) if k)
+    data_y = np.concatenate([y[kept], np.array(part_y, dtype=y.dtype)[part_kept]])
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
     out, bias = np.zeros((DIMENSION, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     steps, step = EPOCHS * len(data), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(data)):
-            (ids, weight), label = data[i]
+            (ids, weight), label = data[i], data_y[i]
             rate, step = RATE * (1 - step / steps), step + 1
             x = weight @ table[ids]
             wrong = softmax(x @ out + bias)
@@ -147,16 +197,19 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             bias -= rate * wrong
             # a bucket's step is its weight times the gradient, scaled up as weights are small in long texts
             table[ids] -= (4 * rate * weight / max(float(weight @ weight), 1e-3))[:, None] * back * np.float32(0.25)
-    logits = table @ out
-    held = [(f, label) for f, label in zip(_features([t for t, k in zip(texts, kept, strict=True) if not k]), y[~kept], strict=True)]
-    held = held or data
-    z, truth = np.array([w @ logits[ids] + bias for (ids, w), _ in held]), np.array([label for _, label in held])
+    held, truth = _Features(), y[~kept]
+    held.extend(t for t, k in zip(texts, kept, strict=True) if not k)
+    if not len(held):
+        held, truth = data, data_y
+    z = np.array([(weight @ table[ids]) @ out + bias for ids, weight in map(held.__getitem__, range(len(held)))])
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.25, 20, 60):
         loss = -np.log(softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean()
         if loss < best - 1e-9:
             best, temperature = loss, float(t)
-    return Model(langs, (logits / temperature).astype(np.float32), bias / temperature)
+    if len(langs) > DIMENSION:
+        return Model(langs, table, bias / temperature, (out / temperature).astype(np.float32))
+    return Model(langs, (table @ out / temperature).astype(np.float32), bias / temperature)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,19 +218,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """Learns from (doc_id, text, lang) a bounded sample in a fixed random order, equal in its languages."""
+    """Learns from (doc_id, text, lang) a sample in a fixed random order, equal in its languages, of which each has all its rows if they are few.
+
+    The sample is sorted by Spark and comes to the driver a partition at a time.
+    """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).where(F.rlike("text", F.lit(r"\p{L}")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return fit([], [])
-    each = min(SAMPLE_ROWS, SAMPLE_ALL // len(counts))
-    share = F.lit(-1.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], float(each / r["count"])).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], SAMPLE_ROWS / r["count"]) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    picked = known.where(draw < share).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("draw"), "doc_id")
-    rows = picked.orderBy("draw", "doc_id", "text").limit(2 * each * len(counts)).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    picked = known.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("draw"), "doc_id")
+    texts, labels, n = _Texts(), [], dict.fromkeys((r["lang"] for r in counts), 0)
+    with Scratch(docs.sparkSession, "langid") as scratch:
+        for r in scratch.cut(picked, "sample").orderBy("draw", "doc_id", "lang", "text").toLocalIterator():
+            n[r["lang"]] += 1
+            if n[r["lang"]] <= 2 * SAMPLE_ROWS:  # more only if rows share a doc_id
+                texts.append(r["text"])
+                labels.append(r["lang"])
+    return fit(texts, labels)
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:

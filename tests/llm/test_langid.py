@@ -43,3 +43,25 @@ def test_subwords_stay_in_their_text():
     whole = [list(langid.subwords(raw, o)[0]) for _, raw, o in textvec.chunks(pa.array(texts))][0]
     alone = [x for t in texts for _, raw, o in textvec.chunks(pa.array([t])) for x in langid.subwords(raw, o)[0]]
     assert whole == alone
+
+
+def test_every_language_is_learned(spark):
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 120 * 20)]
+    rows = []
+    for lang in range(120):
+        own = alphabet[lang * 20 : lang * 20 + 20]
+        rows += [(lang * 10 + i, " ".join("".join(own[(i + j + k) % 20] for k in range(3)) for j in range(12)), f"l{lang:03}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 120
+    got = model.predict(pa.array([r[1] for r in rows]))[0]
+    assert sum(a == r[2] for a, r in zip(got, rows, strict=True)) >= 0.95 * len(rows)
+
+
+def test_sample_and_limit_are_whole(monkeypatch, spark):
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: seen.update(texts=list(texts), labels=labels))
+    long = "the cat " * 2000
+    langid.train(spark.createDataFrame([(i, long, "en") for i in range(1000)], "doc_id long, text string, lang string"))
+    assert len(seen["texts"]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1000)) and set(seen["texts"]) == {long}
+    assert langid.REJECT == 0.5
