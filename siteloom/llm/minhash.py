@@ -24,6 +24,8 @@ PERMUTATIONS = 128
 BANDS = 32
 #: Two texts are near duplicates from this Jaccard similarity of their shingle sets.
 NEAR = 0.8
+#: Classes in a block of a band, about; blocks are compared two by two.
+BLOCK = 32
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 2
 
@@ -147,13 +149,52 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, near: float = NEAR, rounds: int = 3) -> DataFrame:
+def _compare(t: pa.Table, near: float) -> pa.Table:
+    """Links (a, b) between rows (at, band, i, j, block, doc_id, group, n, bands, text) of two blocks of a band, or within one if i = j.
+
+    Left out: pairs of one group, pairs that share an earlier band, and pairs that the links found before connect.
+    """
+    at, within = t["at"][0].as_py(), t["i"][0].as_py() == t["j"][0].as_py()
+    ids, block, n = (t[c].to_numpy() for c in ("doc_id", "block", "n"))
+    bands = np.array(t["bands"].to_pylist(), dtype=np.int64)
+    group, texts = t["group"].to_pylist(), t["text"]
+    above: dict = {}
+    sets: dict[int, np.ndarray] = {}
+
+    def top(g: int) -> int:
+        while g in above:
+            g = above[g]
+        return g
+
+    def shingled(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = shingle_sets(pa.array([texts[x].as_py()], pa.large_string()))[0]
+        return sets[x]
+
+    left, right = [], []
+    for x in range(len(ids) - 1):
+        rest = slice(x + 1, None)
+        # a similarity of near needs sizes as near to each other
+        may = (np.minimum(n[rest], n[x]) >= near * np.maximum(n[rest], n[x])) & ((bands[rest] == bands[x]).argmax(axis=1) == at)
+        for y in np.flatnonzero(may & (within | (block[rest] != block[x]))) + x + 1:
+            g, o = top(group[x]), top(group[y])
+            if g == o:
+                continue
+            same = len(np.intersect1d(shingled(x), shingled(y), assume_unique=True))
+            if same > 0 and same >= near * (len(sets[x]) + len(sets[y]) - same):
+                above[g] = o
+                left.append(ids[x])
+                right.append(ids[y])
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, near: float = NEAR) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, group_id): groups of texts linked by a Jaccard similarity of ``near`` or more.
 
-    Equal shingle sets are one class. In each round the bands of the classes' fingerprints are joined in Spark: every class meets the
-    smallest of each band that it is in, so links grow with the documents and not with the pairs of a band, and
-    each is verified over whole texts. Classes linked in one round are met as members of their group in the next,
-    with bands salted anew by the group they lie in, so that two groups sharing a band meet too.
+    Equal shingle sets are one class. First every class meets the smallest and the greatest of each band that it is in, so
+    that large groups of near copies come together by links that grow with the documents. Then all classes of a band that still
+    lie in different groups are compared, in blocks of about ``BLOCK`` classes chosen by a hash, two blocks in a task, so that
+    each pair that shares a band is either verified over whole texts or linked already.
     Texts without words are alone. Null doc_id: kept out. Repeated rows: one.
     """
     small_batches(spark)
@@ -185,24 +226,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, near: float = NEAR, ro
         member = scratch.cut(made.join(classes, "class", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "member")
         reps = scratch.cut(made.join(classes.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"], "left_semi").where("n > 0").dropDuplicates(["doc_id"]).select("doc_id", "bands", "n"), "reps")
         texts = docs.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        groups, links = reps.select("doc_id", F.col("doc_id").alias("group")), None
-        for _ in range(rounds):
-            keyed = reps.join(groups, "doc_id").select("doc_id", "group", F.explode("bands").alias("band"))
-            low = keyed.groupBy("band").agg(F.min(F.struct("group", "doc_id")).alias("first"), F.max(F.struct("group", "doc_id")).alias("last"))
-            low = low.where("first.group <> last.group")
-            met = keyed.join(low, "band").select(F.col("doc_id").alias("a"), "group", F.explode(F.array("first", "last")).alias("o"))
-            pairs = met.where("group <> o.group").select(F.least("a", "o.doc_id").alias("a"), F.greatest("a", "o.doc_id").alias("b")).distinct()
-            if links is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = scratch.cut(pairs, "pairs")
-            if pairs.isEmpty():
-                break
-            tried = pairs if links is None else scratch.cut(tried.union(pairs), "tried")
-            both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-            new = scratch.cut(both.mapInArrow(verify, "a long, b long"), "links")
-            links = new if links is None else links.union(new)
-            found = components(scratch, links)
-            groups = scratch.cut(reps.select("doc_id").join(found.toDF("doc_id", "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group")), "groups")
+        keyed = reps.select("doc_id", F.explode("bands").alias("band"))
+        ends = keyed.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+        met = keyed.join(ends, "band").select(F.col("doc_id").alias("a"), F.explode(F.array("first", "last")).alias("o"))
+        pairs = scratch.cut(met.where("a <> o").select(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b")).distinct(), "pairs")
+        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        links = scratch.cut(both.mapInArrow(verify, "a long, b long"), "links")
+
+        def grouped(links: DataFrame) -> DataFrame:
+            found = components(scratch, links).toDF("doc_id", "component")
+            return scratch.cut(reps.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group")), "groups")
+
+        known = reps.join(grouped(links), "doc_id")
+        keyed = known.select("doc_id", "group", F.posexplode("bands").alias("at", "band"))
+        open_bands = keyed.groupBy("at", "band").agg(F.count("*").alias("many"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+        blocks = F.ceil(F.col("many") / BLOCK)
+        placed = keyed.join(open_bands.select("at", "band", blocks.alias("blocks")), ["at", "band"])
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        placed = placed.select("at", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "group")
+        placed = placed.join(reps, "doc_id").join(texts, "doc_id").select("at", "band", "i", "j", "block", "doc_id", "group", "n", "bands", "text")
+        more = scratch.cut(placed.groupBy("at", "band", "i", "j").applyInArrow(lambda t: _compare(t, near), "a long, b long"), "links")
+        groups = grouped(links.union(more))
         out = member.join(groups.toDF("rep", "group"), "rep", "left").select("doc_id", F.coalesce("group", "rep").alias("group_id"))
         return scratch.keep(out)
 

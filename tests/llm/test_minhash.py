@@ -70,3 +70,14 @@ def test_near_duplicates(spark):
     got = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = {i: i for i, _ in rows} | {10: 0, 11: 1, 12: 2, 20: 0}
     assert got == want
+
+
+def test_linked_pair_among_unlinked_classes_of_its_bands(spark):
+    shared = [f"w{i}" for i in range(340)]
+    own = lambda d, n: [f"own{d}x{i}" for i in range(n)]
+    rows = [(d, " ".join(shared + own(d, 80))) for d in range(70) if d not in (34, 35)]
+    rows += [(d, " ".join(shared + own(d, 10))) for d in (34, 35)]
+    whole = {d: sets(t) for d, t in rows}
+    assert [(a, b) for a in whole for b in whole if a < b and jaccard(whole[a], whole[b]) >= 0.8] == [(34, 35)]
+    got = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: 34 if d == 35 else d for d in whole}
