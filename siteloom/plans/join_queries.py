@@ -221,6 +221,13 @@ def check_ploidy(spark: SparkSession, d: str) -> DataFrame:
     return W.ploidy_runs(g.join(sites(spark, d).select("site_id", "chrom", "pos"), "site_id"))
 
 
+@query(""", c AS (SELECT g.ploidy AS pl, g.sample, s.chrom, s.pos, s.site_id FROM gt g JOIN site s ON g.site_id = s.site_id WHERE a0 IS NOT NULL OR a1 IS NOT NULL),
+l AS (SELECT *, lag(pl) OVER (PARTITION BY sample, chrom ORDER BY pos, site_id) AS was FROM c), r AS (SELECT *, sum(CASE WHEN was = pl THEN 0 ELSE 1 END) OVER (PARTITION BY sample, chrom ORDER BY pos, site_id ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT sample, chrom, CAST(pl AS INT) AS ploidy, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM r GROUP BY sample, chrom, run, pl""")
+def check_ploidy_whole(spark: SparkSession, d: str) -> DataFrame:
+    return W.ploidy_runs(genotypes(spark, d).join(sites(spark, d).select("site_id", "chrom", "pos"), "site_id"))
+
+
 @query(""", b AS (SELECT chrom, pos, site_id, pos AS e, dp, dp // 20 AS g FROM site), l AS (SELECT *, lag(g) OVER (PARTITION BY chrom ORDER BY pos, site_id) AS was FROM b),
 r AS (SELECT *, sum(CASE WHEN was IS NOT DISTINCT FROM g THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos, site_id ROWS UNBOUNDED PRECEDING) AS block FROM l)
 SELECT chrom, min(pos) AS start, max(e) AS "end", CAST(g AS BIGINT) AS grp, min(dp) AS min_dp, count(*) AS n FROM r GROUP BY chrom, block, g""")
