@@ -12,7 +12,7 @@ from siteloom.operators import joins as J
 from siteloom.operators import models as M
 from siteloom.operators import windows as W
 from siteloom.plans.registry import query
-from siteloom.plans.relations import genotypes, second_input, sites
+from siteloom.plans.relations import CONTIG, genotypes, second_input, sites
 from siteloom.plans.stats_queries import FISHER
 
 TRIOS = [("S1", "S2", "S3"), ("S4", "S5", "S6")]
@@ -296,6 +296,16 @@ def consensus(spark: SparkSession, d: str) -> DataFrame:
     return C.consensus_of(C.synthetic_reference(sites(spark, d).select("chrom").distinct(), 2000, base), v.withColumn("ref", base))
 
 
+@query(""", v AS (SELECT chrom, pos, alts[1] AS alt FROM site WHERE kind = 'snp'), d AS (SELECT chrom, pos, min(alt) AS alt FROM v GROUP BY chrom, pos),
+b AS (SELECT c.chrom, p.pos, coalesce(d.alt, substr('ACGT', 1 + p.pos % 4, 1)) AS b FROM (SELECT DISTINCT chrom FROM site) c CROSS JOIN (SELECT unnest(range(1, 100001)) AS pos) p LEFT JOIN d ON d.chrom = c.chrom AND d.pos = p.pos)
+SELECT chrom, string_agg(b, '' ORDER BY pos) AS seq FROM b GROUP BY chrom""")
+def consensus_whole(spark: SparkSession, d: str) -> DataFrame:
+    every = sites(spark, d)
+    v = every.where(V.class_label(V.variant_class(F.col("ref"), F.col("alts"))) == "snp").groupBy("chrom", "pos").agg(F.min(F.get("alts", F.lit(0))).alias("alt"))
+    base = F.expr("substring('ACGT', cast(1 + pos % 4 as int), 1)")
+    return C.consensus_of(C.synthetic_reference(every.select("chrom").distinct(), CONTIG, base), v.withColumn("ref", base))
+
+
 @query()
 def trio_dnm(spark: SparkSession, d: str) -> DataFrame:
     return M.de_novo_posterior(J.trio_rows(M.with_likelihoods(genotypes(spark, d)), TRIOS[:1]), M.with_likelihoods(genotypes(spark, d)), TRIOS[0])

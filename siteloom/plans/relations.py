@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLES = 7
+#: Bases of a contig: sites lie from 1 to it.
+CONTIG = 100000
 
 
 def _kind(k: Column) -> Column:

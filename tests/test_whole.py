@@ -19,3 +19,20 @@ def test_check_ploidy_reads_all_samples(spark):
     got = entry.queries()["check_ploidy_whole"](spark, SF).select("sample", "chrom", "ploidy", "start", "end", "n").collect()
     assert sorted(map(list, got)) == sorted(want)
     assert {(w[0], w[2]) for w in want} == {(f"S{i}", 1 if i == 7 else 2) for i in range(1, 8)}
+
+
+def test_consensus_applies_all_snps(spark):
+    rows = sites(spark, SF).where("length(ref) = 1 and size(alts) > 0").select("chrom", "pos", "alts").collect()
+    want: dict[str, list[str]] = {}
+    snps: dict = {}
+    for r in rows:
+        if all(len(a) == 1 for a in r["alts"]):
+            at = r["chrom"], r["pos"]
+            snps[at] = min(snps.get(at, "Z"), r["alts"][0])
+    for chrom in {c for c, _ in snps}:
+        want[chrom] = ["ACGT"[p % 4] for p in range(1, 100001)]
+    for (chrom, pos), alt in snps.items():
+        want[chrom][pos - 1] = alt
+    assert any(pos > 1 << 16 for _, pos in snps)
+    got = {r["chrom"]: r["seq"] for r in entry.queries()["consensus_whole"](spark, SF).collect()}
+    assert got == {c: "".join(s) for c, s in want.items()}
