@@ -17,7 +17,11 @@ SAMPLES = "array<struct<sample:string,gt_raw:string,alleles:array<int>,phased:bo
 
 def read_header(spark: SparkSession, path: str) -> Header:
     """The header of a file, or of the first of several. Only meta lines are gathered."""
-    lines = [r["value"].rstrip("\r") for r in spark.read.text(path).where(F.col("value").startswith("#")).limit(100_000).collect()]
+    lines = []
+    for r in spark.read.text(path).where(F.col("value").startswith("#")).toLocalIterator():
+        lines.append(r["value"].rstrip("\r"))
+        if lines[-1].startswith("#CHROM"):
+            break
     return parse_header(lines)
 
 

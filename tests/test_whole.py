@@ -36,3 +36,11 @@ def test_consensus_applies_all_snps(spark):
     assert any(pos > 1 << 16 for _, pos in snps)
     got = {r["chrom"]: r["seq"] for r in entry.queries()["consensus_whole"](spark, SF).collect()}
     assert got == {c: "".join(s) for c, s in want.items()}
+
+
+def test_header_of_any_length(spark, tmp_path):
+    from siteloom.sources.vcf import read_header
+
+    meta = ["##fileformat=VCFv4.2", *(f"##contig=<ID=c{i}>" for i in range(100_001)), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA", "c1\t1\t.\tA\tC\t.\t.\t.\tGT\t0/1"]
+    (tmp_path / "a.vcf").write_text("\n".join(meta) + "\n")
+    assert list(read_header(spark, str(tmp_path / "a.vcf")).samples) == ["A"]
