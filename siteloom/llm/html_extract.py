@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteloom.llm.common import small_batches
 
@@ -32,9 +33,10 @@ _HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|d
 _PART = re.compile(r"[a-z]+")
 
 # Elements of HTML by how they are read.
-_RAW = frozenset("script style noscript template textarea title select iframe svg math object canvas audio video".split())
+_RAW = frozenset("script style noscript template textarea title select iframe svg object canvas audio video annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+_MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol table dl article section div main body aside nav".split())
@@ -46,21 +48,82 @@ _SAYS = frozenset(
 )
 
 
+class Element:
+    """An open element. ``fresh`` are the features that it has and no ancestor has, so that a path's features are those of its elements."""
+
+    __slots__ = ("tag", "parent", "fresh", "hidden", "score")
+
+    def __init__(self, tag: str, parent: Element | None, fresh: tuple[str, ...], hidden: bool) -> None:
+        self.tag, self.parent, self.fresh, self.hidden, self.score = tag, parent, fresh, hidden, None
+
+
 class Block:
-    __slots__ = ("text", "tags", "names", "linked", "hidden")
+    __slots__ = ("text", "inside", "linked")
+
+    def __init__(self, text: str, inside: Element | None, linked: int) -> None:
+        self.text, self.inside, self.linked = text, inside, linked
+
+
+def _described(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
+    """An element's features, and whether it is hidden."""
+    names = {f"name:{p}" for n in _NAMES.findall(attributes) for p in _PART.findall("".join(n).lower())}
+    return (f"in:{tag}", *names), _HIDDEN.search(attributes) is not None
+
+
+_described_again = functools.lru_cache(maxsize=4096)(_described)
 
-    def __init__(self, text: str, tags: list[str], names: list[str], linked: int, hidden: bool) -> None:
-        self.text, self.tags, self.names, self.linked, self.hidden = text, tags, names, linked, hidden
+
+class _Open:
+    """The open elements. Every step takes time in proportion to what it opens or closes, however deep the page."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.own: list[tuple[str, ...]] = []
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.count: dict[str, int] = {}
+
+    @property
+    def top(self) -> Element | None:
+        return self.stack[-1] if self.stack else None
+
+    def push(self, tag: str, attributes: str) -> None:
+        own, hidden = (_described_again if len(attributes) < 256 else _described)(tag, attributes)
+        count, fresh = self.count, []
+        for f in own:
+            n = count.get(f, 0)
+            count[f] = n + 1
+            if not n:
+                fresh.append(f)
+        parent = self.top
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in _SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(Element(tag, parent, tuple(fresh), hidden or (parent is not None and parent.hidden)))
+        self.own.append(own)
+
+    def close_from(self, i: int) -> None:
+        while len(self.stack) > i:
+            tag = self.stack.pop().tag
+            self.at[tag].pop()
+            if tag in _SCOPE:
+                self.scopes.pop()
+            for f in self.own.pop():
+                self.count[f] -= 1
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost open element of these tags is; -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order: text between the edges of block elements, references decoded, white space made one space.
 
     Read as a browser would as far as it matters here: comments, scripts and other raw elements go, an end tag closes what is open within,
-    unclosed tags at the end of the page go.
+    unclosed tags at the end of the page go. Formulas are text. Time and memory grow with the page's length, not with its depth.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, list[str], bool]] = []
+    opened = _Open()
     parts: list[str] = []
     linked = in_link = 0
 
@@ -69,7 +132,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, [t for t, _, _ in stack], [n for _, ns, _ in stack for n in ns], linked, any(h for _, _, h in stack)))
+                blocks.append(Block(text, opened.top, linked))
             parts.clear()
         linked = 0
 
@@ -94,7 +157,7 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag == "a":
             in_link = 0 if end else 1
-        if tag in _INLINE:
+        if tag in _INLINE or tag in _MATH:
             continue
         if tag == "br":
             parts.append(" ")
@@ -102,47 +165,48 @@ def leaf_blocks(page: str) -> list[Block]:
         flush()
         in_link = 0
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            i = opened.last(tag)
+            if i >= 0:
+                opened.close_from(i)
             continue
-        if tag in _CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
+        if tag in _CLOSES_P and opened.stack and opened.top.tag == "p":
+            opened.close_from(len(opened.stack) - 1)
         if tag in _CLOSES_SELF:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _CLOSES_SELF[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
+            i = opened.last(*_CLOSES_SELF[tag])
+            if i >= 0 and (not opened.scopes or i > opened.scopes[-1]):
+                opened.close_from(i)
         if tag not in _VOID and not attributes.endswith("/"):
-            names = [p for n in _NAMES.findall(attributes) for p in _PART.findall("".join(n).lower())] if attributes else []
-            stack.append((tag, names, bool(attributes) and _HIDDEN.search(attributes) is not None))
+            opened.push(tag, attributes)
     flush()
     return blocks
 
 
+def _own_features(b: Block, at: int, n: int) -> list[str]:
+    """A block's features but those of the elements that it is in."""
+    k = len(b.text.split())
+    size = f"words{min(8, k.bit_length())}"
+    f = ["bias", size, f"link{min(4, 4 * b.linked // max(1, len(b.text)))}", f"at{4 * at // n}"]
+    if b.inside is not None:
+        f.append(f"under:{b.inside.tag}")
+        f.append(f"under:{b.inside.tag}/{size}")
+        if b.inside.hidden:
+            f.append("hidden")
+    if b.text[-1] in ".!?:;\"'”»…":
+        f.append("ends")
+    if "©" in b.text or "(c)" in b.text:
+        f.append("sign")
+    if k <= 40:
+        f += {f"says:{w}" for w in _SAYS.intersection(_PART.findall(b.text.lower()))}
+    return f
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
     out = []
-    n = len(blocks)
     for i, b in enumerate(blocks):
-        words = b.text.split()
-        k = len(words)
-        f = ["bias", f"words{min(8, k.bit_length())}", f"link{min(4, 4 * b.linked // max(1, len(b.text)))}", f"at{4 * i // n}"]
-        f += {f"in:{t}" for t in b.tags}
-        f += {f"name:{x}" for x in b.names}
-        if b.tags:
-            f.append(f"under:{b.tags[-1]}")
-            f.append(f"under:{b.tags[-1]}/words{min(8, k.bit_length())}")
-        if b.text[-1] in ".!?:;\"'”»…":
-            f.append("ends")
-        if "©" in b.text or "(c)" in b.text:
-            f.append("sign")
-        if b.hidden:
-            f.append("hidden")
-        if k <= 40:
-            f += {f"says:{w}" for w in re.findall(r"[a-z]+", b.text.lower()) if w in _SAYS}
+        f, e = _own_features(b, i, len(blocks)), b.inside
+        while e is not None:
+            f += e.fresh
+            e = e.parent
         out.append(f)
     return out
 
@@ -159,6 +223,20 @@ class Field:
         get = self.weight.get
         return [sum(get(x, 0.0) for x in f) for f in feats]
 
+    def block_scores(self, blocks: list[Block]) -> list[float]:
+        """The scores of ``features(blocks)``, with each element's features added up once."""
+        get, out = self.weight.get, []
+        for i, b in enumerate(blocks):
+            e, path = b.inside, []
+            while e is not None and e.score is None:
+                path.append(e)
+                e = e.parent
+            total = e.score if e is not None else 0.0
+            for e in reversed(path):
+                total = e.score = total + sum(get(x, 0.0) for x in e.fresh)
+            out.append(total + sum(get(x, 0.0) for x in _own_features(b, i, len(blocks))))
+        return out
+
     def viterbi(self, s: list[float]) -> list[int]:
         if not s:
             return []
@@ -369,7 +447,7 @@ def trained_field(pages: int = TRAIN_PAGES, seed: int = 11) -> Field:
 
 def main_text(page: str | None, field: Field) -> str:
     blocks = leaf_blocks(page or "")
-    labels = field.viterbi(field.scores(features(blocks)))
+    labels = field.viterbi(field.block_scores(blocks))
     return " ".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 
 
@@ -377,7 +455,7 @@ def extract_main_text(spark: SparkSession, pages: DataFrame, field: Field | None
     """``pages`` (page_id, url, html) as (page_id, url, text, n_chars): the blocks labelled text, joined by one space.
 
     Null or empty html, or none labelled: ''. Null ids and urls and repeated rows stay as they are. Very long pages are read
-    whole. Other columns go. The field is small (a weight for each feature of the training pages), so it's broadcast.
+    whole, and very deep ones in time that grows with their length. Other columns go. The field is small (a weight for each feature of the training pages), so it's broadcast.
     """
     small_batches(spark)
     sent = spark.sparkContext.broadcast(field or trained_field())
@@ -387,7 +465,8 @@ def extract_main_text(spark: SparkSession, pages: DataFrame, field: Field | None
             text = [main_text(x, sent.value) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
