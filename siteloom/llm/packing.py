@@ -7,14 +7,15 @@ multiplicities; pieces then find their place from their rank among pieces of the
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +25,22 @@ from siteloom.llm.common import Scratch, small_batches
 CAPACITY = 2048
 #: Id put after each document.
 END_ID = 0
-#: Words whose ids a Python worker remembers: twice so many at most, those used of late.
-CACHE_WORDS = 300_000
 #: Pieces of one length that are ranked in one group.
 RANK_ROWS = 20_000
 
 _WORKER: dict[str, tuple] = {}
 _WORD_END = "</w>"
 
+# How a vocabulary whose words can be learned one by one normalises texts and cuts them into words.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -39,30 +48,106 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-_LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_TAILED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
-#: Byte-level letters: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+#: Bytes of text whose different words are found together, and words that the model encodes in one call.
+CHUNK, TOGETHER = 1 << 23, 1 << 14
+_SPACE = re.compile(rb"[ \t-\r]")
+#: ASCII punctuation without the apostrophe, which begins contractions.
+_POINTS = bytes(i for i in range(33, 127) if not chr(i).isalnum() and i != 39)
+#: Byte-level letters: printable bytes stand for themselves, the others for the characters from 256 on, in order. Spaces stay.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LETTERS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
-#: Words of letters that are encoded as one text.
-_TOGETHER = 64
+_BYTE_LETTERS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256) if b != 32}
 
 
-def _plain(text: bytes) -> bytes:
-    """The text with fewer different words and the same ids: ASCII letters lower.
+def _plain(texts: pa.Array) -> pa.Array:
+    """The texts with fewer different words and the same ids: ASCII letters lower.
 
     Left as it is where a control string might be matched before lowering, or a combining mark composed.
     """
-    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
-        return text
-    return text.translate(_LOW)
+    raw = texts.cast(pa.large_binary())
+    keep = pc.or_(pc.match_substring(raw, b"<|"), pc.or_(pc.match_substring(raw, b"\xcc"), pc.match_substring(raw, b"\xcd")))
+    return pc.if_else(keep, texts, pc.ascii_lower(texts))
+
+
+def _from_zero(texts: pa.Array) -> pa.Array:
+    """As large_string whose bytes begin at 0: kernels of this library go wrong on parts of a longer array."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2] if texts.buffers()[2] is not None else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), data.slice(int(ends[0]), int(ends[-1] - ends[0])))
+
+
+def _segments(text: bytes) -> list[bytes]:
+    """A long text cut after white space into parts of about ``CHUNK`` bytes; a longer word stays whole."""
+    out, at = [], 0
+    while len(text) - at > CHUNK:
+        m = _SPACE.search(text, at + CHUNK)
+        if not m:
+            break
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
+def _letters(word: bytes) -> bytes | None:
+    """The word as the normaliser leaves it, if it is then one run of letters; else None."""
+    if word.isalpha():  # ASCII letters only
+        return word.lower()
+    if word.isascii():
+        return None
+    text = word.decode("utf-8")
+    if not text.isalpha() or not unicodedata.is_normalized("NFC", text):
+        return None
+    low = text.lower()
+    if low == text:
+        return word
+    low = "".join(map(str.lower, text))  # character by character, without the rule for a last sigma
+    return low.encode() if low.isalpha() else None
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of ``data`` from ``start``, ``size`` long each, one after another."""
+    upto = np.cumsum(size) - size
+    return data[np.repeat(start - upto, size) + np.arange(size.sum())]
+
+
+def _parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large_string or large_binary array."""
+    ends = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+    data = array.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), ends
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+class _Pool:
+    """Ids of runs one after another, and where each run's begin and how many they are. Run 0 is empty."""
+
+    def __init__(self) -> None:
+        self.ids, self.sizes = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+        self.count = 1
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Takes in runs; the number of the first of them."""
+        self.ids.append(ids)
+        self.sizes.append(sizes)
+        self.count += len(sizes)
+        return self.count - len(sizes)
+
+    def words(self, runs: np.ndarray) -> pa.Array:
+        """Ids of words of two runs each, as bytes."""
+        ids, size = np.concatenate(self.ids), np.concatenate(self.sizes)
+        start, size = (np.cumsum(size) - size)[runs], size[runs]
+        return _binary(_gathered(ids, start.ravel(), size.ravel()).view(np.uint8), 4 * np.concatenate([[0], np.cumsum(size.sum(axis=1))]))
 
 
 class WordIds:
-    """Ids of texts as little-endian uint32 bytes, by a memory of white-space-separated words.
+    """Ids of texts as little-endian uint32 bytes.
 
-    Neither the normaliser nor the pre-tokeniser of such a vocabulary joins characters across
-    ASCII white space, so a text's ids are those of its words one after another.
+    For a vocabulary that cuts words as above each different word of some megabytes of text is encoded once: neither its normaliser nor its
+    pre-tokeniser joins characters across ASCII white space, so a text's ids are those of its words one after another.
+    Any other tokenizer file encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -70,64 +155,115 @@ class WordIds:
 
         if path not in _WORKER:
             tokenizer = Tokenizer.from_file(path)
+            made = json.loads(tokenizer.to_str())
+            model = made["model"]
+            by_words = (made["normalizer"], made["pre_tokenizer"], made["truncation"], made["padding"]) == (_NORMALIZER, _PRE_TOKENIZER, None, None)
+            by_words &= model["type"] == "BPE" and model["end_of_word_suffix"] == _WORD_END and not (model["dropout"] or model["ignore_merges"] or model["continuing_subword_prefix"])
+            by_words &= all(t["special"] and not t["normalized"] and not t["single_word"] and t["content"].startswith("<|") for t in made["added_tokens"])
+            by_words &= all(chr(c) + end in model["vocab"] for c in [32, *_BYTE_LETTERS.values()] if c != 32 for end in ("", _WORD_END))
             last = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)
-            last[[i for t, i in tokenizer.get_vocab().items() if t.endswith(_WORD_END)]] = True
-            _WORKER[path] = (tokenizer, last, {}, {})
-        self.tokenizer, self.last, self.known, self.older = _WORKER[path]
-        self.model = self.tokenizer.model
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        # letters before a run of ASCII punctuation without apostrophe: a pre-token each
-        cut = [(w, m) for w in words if w[-1] < 97 and (m := _TAILED.fullmatch(w)) and m[1].decode("utf-8").isalpha()]
-        if cut:
-            ends = self._learn([x for x in {m[i] for _, m in cut for i in (1, 2)} if x not in self.known])
-            get = lambda x: ends[x] if x in ends else self.known[x]
-            out.update((w, get(m[1]) + get(m[2])) for w, m in cut)
-            words = [w for w in words if w not in out]
-        texts = [w.decode("utf-8") for w in words]
-        letters = []
-        for i, t in enumerate(texts):
-            if t.isalpha():
-                # what the normaliser would leave as it is goes to the model itself, as one pre-token of byte letters
-                if t == t.lower() and unicodedata.is_normalized("NFC", t):
-                    found = self.model.tokenize(t if t.isascii() else words[i].decode("latin-1").translate(_BYTE_LETTERS))
-                    out[words[i]] = struct.pack(f"<{len(found)}I", *[x.id for x in found])
-                else:
-                    letters.append(i)
-        groups = [letters[i : i + _TOGETHER] for i in range(0, len(letters), _TOGETHER)]
-        made = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, made, strict=True):
-            ids = np.asarray(e.ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(group):  # a word of letters is one pre-token, and its last id ends a word
-                for i, a, b in zip(group, [0, *ends[:-1]], ends, strict=True):
-                    out[words[i]] = ids[a:b].tobytes()
-        rest = [i for i, w in enumerate(words) if w not in out]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[words[i]] = np.asarray(e.ids, dtype="<u4").tobytes()
+            last[[i for t, i in model["vocab"].items() if t.endswith(_WORD_END)]] = True
+            # the model alone: its words come normalised, in byte letters, between spaces
+            bare = Tokenizer(tokenizer.model)
+            if by_words:
+                from tokenizers.pre_tokenizers import WhitespaceSplit
+
+                bare.pre_tokenizer = WhitespaceSplit()
+            _WORKER[path] = (tokenizer, bare, last, by_words)
+        self.tokenizer, self.bare, self.last, self.by_words = _WORKER[path]
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in made]
+
+    def _runs(self, pool: _Pool, runs: pa.Array) -> None:
+        """Takes runs of letters or of points, each of them one word of the model, into the pool."""
+        plain = pc.string_is_ascii(runs.cast(pa.large_string()))
+        for some in (True, False):
+            part = runs.filter(plain if some else pc.invert(plain))
+            for i in range(0, len(part), TOGETHER):
+                words = part.slice(i, TOGETHER).to_pylist()
+                text = b" ".join(words)
+                text = text.decode("ascii") if some else text.decode("latin-1").translate(_BYTE_LETTERS)
+                ids = np.asarray(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1  # a word's last id, and no other, ends a word
+                if len(ends) != len(words):
+                    raise ValueError("the vocabulary's words don't end as expected")
+                pool.add(ids, np.diff(ends, prepend=0))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of different words. Points at a word's end, after a letter or a digit, are a word of their own."""
+        n, pool = len(words), _Pool()
+        stems = pc.ascii_rtrim(words, _POINTS.decode())
+        easy = pc.ascii_is_alpha(stems).to_numpy(zero_copy_only=False)
+        data, ends = _parts(words)
+        size, stem_size = np.diff(ends), np.diff(_parts(stems)[1])
+        tail_from, tail_size = ends[:-1] + stem_size, np.where(easy, size - stem_size, 0)
+        runs: list[bytes | None] = []  # of the words that aren't easy
+        extra: list[bytes] = []  # parts that the whole tokenizer encodes
+        hard = np.flatnonzero(~easy & (size > 0))
+        raw = words.take(pa.array(hard)).cast(pa.large_binary()).to_pylist()
+        for k, w in zip(hard.tolist(), raw, strict=True):
+            stem = w.rstrip(_POINTS) if b"<|" not in w else w  # where a control string may be
+            run = _letters(stem) if stem else w
+            if run is None and len(stem) < len(w) and not stem[-1:].isalnum():
+                stem = w
+            if stem and len(stem) < len(w):
+                tail_from[k], tail_size[k] = ends[k] + len(stem), len(w) - len(stem)
+            runs.append(run)
+            if run is None:
+                extra.append(stem)
+        tailed = np.flatnonzero(tail_size)
+        tails = _binary(_gathered(data, tail_from[tailed], tail_size[tailed]), np.concatenate([[0], np.cumsum(tail_size[tailed])]))
+        known = pa.array([r for r in runs if r is not None], pa.large_binary())
+        first = pc.ascii_lower(stems.filter(pa.array(easy))).cast(pa.large_binary())
+        coded = pa.concat_arrays([first, known, tails]).dictionary_encode()
+        # the pool takes ASCII runs first
+        plain = pc.string_is_ascii(coded.dictionary.cast(pa.large_string())).to_numpy(zero_copy_only=False)
+        number = np.zeros(len(plain), np.int64)
+        number[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(1, len(plain) + 1)
+        self._runs(pool, coded.dictionary)
+        found = number[coded.indices.to_numpy()]
+        both = np.zeros((n, 2), np.int64)
+        both[easy, 0] = found[: len(first)]
+        is_run = np.array([r is not None for r in runs], dtype=bool)
+        both[hard[is_run], 0] = found[len(first) : len(first) + len(known)]
+        both[tailed, 1] = found[len(first) + len(known) :]
+        if extra:
+            made = [np.frombuffer(x, "<u4") for x in self._whole(extra)]
+            both[hard[~is_run], 0] = pool.add(np.concatenate(made), np.array([len(x) for x in made])) + np.arange(len(made))
+        return pool.words(both)
+
+    def _chunk(self, texts: pa.Array) -> list[bytes]:
+        words = pc.ascii_split_whitespace(_plain(texts))
+        coded = words.flatten().dictionary_encode()
+        ids = self._words(coded.dictionary).take(coded.indices)
+        raw, ends = _parts(ids)
+        starts = words.offsets.to_numpy()
+        at, raw = ends[starts - starts[0]].tolist(), memoryview(raw)
+        return [bytes(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of ``texts`` (string or large_string); null counts as empty."""
+        if texts.null_count:
+            texts = texts.fill_null("")
+        if not self.by_words:
+            return self._whole(texts.cast(pa.large_binary()).to_pylist())
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        out: list[bytes] = []
+        i = 0
+        while i < len(texts):
+            j, held = i, 0
+            while j < len(texts) and (j == i or held + size[j] <= CHUNK):
+                held += size[j]
+                j += 1
+            if held <= CHUNK:
+                out += self._chunk(_from_zero(texts.slice(i, j - i)))
+            else:
+                out.append(b"".join(self._chunk(pa.array([x], pa.large_binary()).cast(pa.large_string()))[0] for x in _segments(texts[i].as_py().encode())))
+            i = j
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        known, words, ends = self.known, [], []
-        if len(known) > CACHE_WORDS:
-            self.older.clear()
-            self.older.update(known)
-            known.clear()
-        for t in texts:
-            words += _plain(t).split()
-            ends.append(len(words))
-        parts = list(map(known.get, words))
-        gaps = [i for i, ids in enumerate(parts) if ids is None]
-        if gaps:
-            unknown = {words[i] for i in gaps}
-            found = {w: self.older[w] for w in unknown if w in self.older}
-            found |= self._learn([w for w in unknown if w not in found])
-            known.update((w, ids) for w, ids in found.items() if len(w) <= 64)
-            for i in gaps:
-                parts[i] = found[words[i]]
-        return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-
 
 def _cut_pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     step = 4 * capacity
@@ -142,20 +278,24 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of ``docs`` (doc_id, text): ids and END_ID, cut only beyond ``capacity``."""
 
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column(1).nbytes
+            if size >= CHUNK:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = WordIds(tokenizer), np.asarray([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+        for lot in lots(batches):
             out: list[tuple] = []
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < 1 << 20):
-                    size += len(texts[j] or b"")
-                    j += 1
-                for name, ids in zip(names[i:j], coder.encode([t or b"" for t in texts[i:j]]), strict=True):
-                    out += [(name, *p) for p in _cut_pieces(ids + end, capacity)]
-                i = j
+            texts = lot.column(1).cast(pa.large_string()).combine_chunks()
+            for name, ids in zip(lot.column(0).to_pylist(), coder.encode(texts), strict=True):
+                out += [(name, *p) for p in _cut_pieces(ids + end, capacity)]
             if out:
                 columns = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
