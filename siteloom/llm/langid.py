@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from siteloom.llm import textvec
 from siteloom.llm.common import Scratch, small_batches
 
-#: Bounds of the training sample: rows of each language, characters of a training text.
+#: Bounds of the training sample: rows of each language, characters of a training text; of a longer one a window at a place chosen by a hash.
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
 BUCKETS, DIMENSION, ORDERS = 1 << 16, 16, (2, 3, 4)
 EPOCHS, RATE = 6, 0.5
@@ -228,7 +228,9 @@ def train(docs: DataFrame) -> Model:
         return fit([], [])
     shares = docs.sparkSession.createDataFrame([(r["lang"], SAMPLE_ROWS / r["count"]) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    picked = known.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("draw"), "doc_id")
+    start = 1 + F.pmod(F.xxhash64(F.lit("window"), "doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)))
+    window = F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS))
+    picked = known.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", window.alias("text"), draw.alias("draw"), "doc_id")
     texts, labels, n = _Texts(), [], dict.fromkeys((r["lang"] for r in counts), 0)
     with Scratch(docs.sparkSession, "langid") as scratch:
         for r in scratch.cut(picked, "sample").orderBy("draw", "doc_id", "lang", "text").toLocalIterator():

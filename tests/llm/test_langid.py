@@ -65,3 +65,60 @@ def test_sample_and_limit_are_whole(monkeypatch, spark):
     langid.train(spark.createDataFrame([(i, long, "en") for i in range(1000)], "doc_id long, text string, lang string"))
     assert len(seen["texts"]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1000)) and set(seen["texts"]) == {long}
     assert langid.REJECT == 0.5
+
+
+def plain_prediction(model, text):
+    """The rule, text by text and subword by subword."""
+    import math
+    import unicodedata
+
+    if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+        return "und", 0.0
+    raw = [b if b >= 128 or chr(b).isalpha() else 32 for b in f" {text.lower()} ".encode()]
+    total, n = [0.0] * model.logits.shape[1], 0
+    for order in langid.ORDERS:
+        for i in range(len(raw) - order + 1):
+            gram = 0
+            for b in raw[i : i + order]:
+                gram = (gram * 257 + b) % (1 << 32)
+            h = (gram + order * 0x51ED27) * 0x9E3779B1 % (1 << 32)
+            h ^= h >> 15
+            h = h * 0x85EBCA77 % (1 << 32) >> 16
+            n += 1
+            for k, x in enumerate(model.logits[h]):
+                total[k] += float(x)
+    z = [x / n for x in total]
+    if model.out is not None:
+        z = [sum(a * float(w) for a, w in zip(z, column, strict=True)) for column in model.out.T]
+    z = [a + float(b) for a, b in zip(z, model.bias, strict=True)]
+    e = [math.exp(a - max(z)) for a in z]
+    best = max(range(len(e)), key=e.__getitem__)
+    return model.langs[best], e[best] / sum(e)
+
+
+def test_predictions_are_those_of_the_plain_rule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    rows = langid.identify(spark, docs, model).collect()
+    assert len(rows) == docs.count()
+    for r in sorted(rows, key=lambda r: len(r["text"] or ""))[:150]:
+        lang, score = plain_prediction(model, r["text"])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4, r["doc_id"]
+        assert r["rejected"] == (lang == "und" or r["score"] < langid.REJECT)
+
+
+def test_accepted_with_clashing_columns(spark):
+    rows = [(1, "the cat and the dog are in the house", "en", "a", 1.0, "q"), (2, None, "en", "b", 2.0, "r"), (6, "the house and the cat", "en", "c", 3.0, "s")]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string, _sl_0 string, score double, rejected string")
+    got = langid.accepted(spark, docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows * 3 if r[1])
+
+
+def test_long_texts_are_learned_from_anywhere(monkeypatch, spark):
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: seen.update(texts=list(texts)))
+    long = "".join(f"{i:06}x" for i in range(30_000))
+    langid.train(spark.createDataFrame([(i, long, "en") for i in range(60)], "doc_id long, text string, lang string"))
+    assert {len(t) for t in seen["texts"]} == {langid.SAMPLE_CHARS}
+    assert len({t[:50] for t in seen["texts"]}) > 30 and any(long.index(t) > len(long) // 2 for t in seen["texts"])
