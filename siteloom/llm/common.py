@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch handed to Python. Texts can be long, so the default of 10,000 is too many.
 ARROW_ROWS = 512
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL_DIR: list[str] = []
 
 
@@ -32,10 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Lower the session's Arrow batch size to ``rows`` if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
+    now = int(spark.conf.get(_BATCH))
     if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+        spark.conf.set(_BATCH, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """The session's Arrow batch size for a while; what runs within the block has it."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that nothing refers to any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 class Scratch:
@@ -43,7 +63,7 @@ class Scratch:
 
     ``cut`` writes a frame and reads it back, so that lost executors cost one stage and not the
     whole lineage. Leaving the ``with`` block deletes what ``cut`` wrote; ``keep`` writes a
-    frame that outlives it.
+    frame that outlives it, until the session's end: both are marked to be deleted when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
@@ -55,6 +75,8 @@ class Scratch:
     def _write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = f"{shared_dir(self.spark)}/siteloom/{self.label}-{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
+        system, where = self._place(path)
+        system.deleteOnExit(where)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -65,10 +87,14 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "out") -> DataFrame:
         return self._write(df, name)[0]
 
-    def drop(self, path: str) -> None:
+    def _place(self, path: str) -> tuple:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        return where.getFileSystem(conf), where
+
+    def drop(self, path: str) -> None:
+        system, where = self._place(path)
+        system.delete(where, True)
 
     def __exit__(self, *_: object) -> None:
         for path in self.paths:
@@ -76,13 +102,13 @@ class Scratch:
         self.paths.clear()
 
 
-def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b) as (node, component), component = smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). Each round takes the
-    smallest neighbour by a partially aggregated ``min`` and joins it back, so a hub with very many
-    neighbours is never gathered in one task. Nodes without an edge are not returned; null ends,
-    loops and repeated edges are ignored.
+    smallest neighbour by a partially aggregated ``min`` and joins it back: one narrow row for each node on one side, so that
+    Spark splits the other where a hub's edges are many (adaptive skew join); no list of neighbours is ever made. Rounds go on until nothing changes,
+    their number grows with the logarithm of the nodes. Nodes without an edge are not returned; null ends, loops and repeated edges are ignored.
     """
     e = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -94,7 +120,7 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> Data
     before = state(e)
     if not before[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u moves to u's smallest neighbour
@@ -112,7 +138,5 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> Data
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     star = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return star.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

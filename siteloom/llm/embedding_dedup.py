@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Scratch, components, small_batches
+from siteloom.llm.common import Scratch, batches_of, components, small_batches
 from siteloom.llm.textvec import mix
 
 #: Vectors link from this cosine.
@@ -182,7 +182,8 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     Vectors link if their cosine in double precision is ``cosine`` or more; every link counted was compared, or follows from two
     angles to a leader. Null and zero vectors, and those with null or non-finite components, link with nothing, nor do vectors
     of different lengths. Equal vectors are linked. Repeated rows (same id and vector) count as one vector, each with its row. Null
-    vec_id: links with nothing, is kept. Empty table: no rows. Other columns go.
+    vec_id: links with nothing, is kept. Empty table: no rows. Other columns go. Rotations are learned for the ``LENGTHS`` commonest lengths of vectors;
+    those of rarer lengths are random (seeded), which costs candidates, not recall: tables are as many for any rotation.
     """
     small_batches(spark)
     inner = math.cos(math.acos(cosine) / 2) + 1e-9
@@ -250,10 +251,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
 
         entered = celled.select("vec_id", "dim", "cell", "code").mapInArrow(enter, "key long, entry long, vec_id long, cell long, code array<long>")
         entered = entered.repartition("key").sortWithinPartitions("key")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")  # numbers, not texts
-        pairs = scratch.cut(entered.mapInArrow(lambda it: _pairs(sent.value, it), "a long, b long"), "pairs")
-        links = scratch.cut(compared(pairs, cosine), "links")
-        small_batches(spark)
+        with batches_of(spark, 8192):  # numbers, not texts
+            pairs = scratch.cut(entered.mapInArrow(lambda it: _pairs(sent.value, it), "a long, b long"), "pairs")
+            links = scratch.cut(compared(pairs, cosine), "links")
         edges = links.union(celled.where("cell <> vec_id").select("cell", "vec_id"))
         found = components(scratch, edges)
         sizes = celled.groupBy("cell").agg(F.sum("many").alias("cell_many"))

@@ -20,15 +20,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm import textvec
-from siteloom.llm.common import Scratch, components, small_batches
+from siteloom.llm.common import ARROW_ROWS, Scratch, batches_of, components, small_batches
 
 #: Shared tokens of two prefixes that are asked for; prefixes are as much longer.
 EVIDENCE = 3
@@ -47,17 +46,6 @@ _SLICE = 1 << 16
 _MULTIPLIERS = np.random.default_rng(99).integers(1, 1 << 62, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@contextmanager
-def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def token_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n-grams."""
     out: list[np.ndarray] = []
@@ -134,8 +122,11 @@ def _describe(docs: DataFrame, words: int, num: int, den: int, counts: np.ndarra
     return docs.select("doc_id", "text").mapInArrow(run, _SETS)
 
 
-def _only(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``, and few others: by a filter of a fixed size, so that other texts aren't shuffled."""
+def only(scratch: Scratch, rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``name`` is in ``ids`` (one column of longs), and few others: by a filter of a fixed size, so that other rows aren't shuffled.
+
+    Beyond some 16 million ids the filter lets more through, which costs shuffling, not results.
+    """
     bits = 16
     count = ids.count()
     while (1 << bits) < 16 * count and bits < FILTER_BITS:
@@ -154,7 +145,7 @@ def _only(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     wanted = _merged(ids.mapInArrow(run, "slice int, data binary"), "u1", "bitwise_or")
     if not len(wanted):
-        return docs.limit(0)
+        return rows.limit(0)
     sent = scratch.spark.sparkContext.broadcast(wanted)
 
     @F.pandas_udf("boolean")
@@ -165,10 +156,10 @@ def _only(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
         found = [(table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 for p in places(x.to_numpy())]
         return pd.Series((found[0] & found[1]).astype(bool))
 
-    return docs.where(may("doc_id"))
+    return rows.where(may(name))
 
 
-def _open(scratch: Scratch, docs: DataFrame, asked: DataFrame, members: DataFrame, linked: DataFrame | None, words: int, num: int, den: int) -> DataFrame:
+def open_groups(scratch: Scratch, docs: DataFrame, asked: DataFrame, members: DataFrame, linked: DataFrame | None, words: int, num: int, den: int) -> DataFrame:
     """Links (a, b) of queries to members of the groups asked for: for each query and part of a group, one to each component that it wasn't in.
 
     ``asked`` (query, grp), ``members`` (doc_id, grp, size), ``linked`` (node, component) so far. A part is ``MEMBERS`` members; where more than ``QUERIES`` queries ask
@@ -181,7 +172,7 @@ def _open(scratch: Scratch, docs: DataFrame, asked: DataFrame, members: DataFram
     own = opened.select("doc_id", "grp", F.lit(0).alias("role"), F.expr("pmod(xxhash64(doc_id), parts)").cast("int").alias("part"), F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"))
     queries = asked.join(shape, "grp").select(F.col("query").alias("doc_id"), "grp", F.lit(1).alias("role"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.expr("pmod(xxhash64(query), copies)").cast("int").alias("copy"))
     rows = scratch.cut(own.union(queries), "dealt")
-    texts = _only(scratch, docs, rows.select("doc_id").distinct()).select("doc_id", "text")
+    texts = only(scratch, docs, "doc_id", rows.select("doc_id").distinct()).select("doc_id", "text")
     dealt = rows.join(texts, "doc_id").withColumn("component", F.col("doc_id"))
     if linked is not None:
         dealt = dealt.drop("component").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -295,7 +286,7 @@ def _matrix(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
 def _asked(scratch: Scratch, grouped: DataFrame, num: int, den: int) -> DataFrame:
     """(query, grp) of the groups whose union shares enough of a query's prefix."""
     rows = grouped.select(F.explode("prefix").alias("token"), "grp", "doc_id", "n", "rank").repartition("token").sortWithinPartitions("token")
-    with _batches(scratch.spark, NUMBER_ROWS):
+    with batches_of(scratch.spark, NUMBER_ROWS):
         shared = rows.mapInArrow(lambda it: _matrix(it, num, den), "query long, grp long, evidence long")
         return scratch.cut(shared.groupBy("query", "grp").agg(F.count("*").alias("hits"), F.first("evidence").alias("evidence")).where("hits >= evidence").select("query", "grp"), "asked")
 
@@ -321,11 +312,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         reps = scratch.cut(reps.select("doc_id", "n", "minima", "prefix"), "reps")
         alone = reps.select("doc_id", F.col("doc_id").alias("grp"), F.lit(1).alias("size"))
         led = _leaders(scratch, reps, num, den)
-        links = _open(scratch, named, led, alone, None, words, num, den)
+        links = open_groups(scratch, named, led, alone, None, words, num, den)
         linked = scratch.cut(components(scratch, links), "linked")
         grouped = _groups(scratch, reps, led, linked)
         asked = _asked(scratch, grouped, num, den).union(grouped.where("asks").select(F.col("doc_id").alias("query"), "grp"))
-        more = _open(scratch, named, asked, grouped.select("doc_id", "grp", "size"), linked, words, num, den)
+        more = open_groups(scratch, named, asked, grouped.select("doc_id", "grp", "size"), linked, words, num, den)
         found = components(scratch, links.union(more))
         member = sets.select("doc_id", "n", "class").join(classes, "class", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
         out = member.join(found.toDF("rep", "component"), "rep", "left")
@@ -336,13 +327,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
 def one_of_each(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one document of each group of linked ones, the smallest doc_id, once.
 
-    Documents without words and rows of null doc_id stay, once for each text.
+    Documents without words and rows of null doc_id stay, once for each text. Of repeated rows of one doc_id and text the one whose columns as text sort first stays.
     """
     found = jaccard_components(spark, docs, words, num, den)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_sl_kept")).distinct()
     # by shuffle at every size: what is kept grows with the input
     out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_sl_kept"]), "left_semi")
-    return out.withColumn("_sl_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_sl_text"]).drop("_sl_text")
+    names = docs.columns
+    inner = out.toDF(*(f"_sl_{i}" for i in range(len(names))))  # whatever the columns' names
+    at = {c: f"_sl_{i}" for i, c in enumerate(names)}
+    once = inner.withColumn("_sl_text", F.xxhash64(at["text"])).withColumn("_sl_row", F.to_json(F.struct(*(c for c in inner.columns if c != at["text"]))))
+    nth = F.row_number().over(Window.partitionBy(at["doc_id"], "_sl_text").orderBy("_sl_row"))
+    return once.withColumn("_sl_nth", nth).where("_sl_nth = 1").drop("_sl_text", "_sl_row", "_sl_nth").toDF(*names)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

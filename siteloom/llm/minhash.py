@@ -15,17 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm import textvec
-from siteloom.llm.common import Scratch, components, small_batches
+from siteloom.llm.common import ARROW_ROWS, Scratch, batches_of, components, release, small_batches
+from siteloom.llm.jaccard_join import only, open_groups, token_sets
 
 #: Words in a shingle.
 SHINGLE = 5
 PERMUTATIONS = 128
-#: Bands of four minima each: at a similarity of 0.8 all but one pair in ten million share a band.
-BANDS = 32
-#: Two texts are near duplicates from this Jaccard similarity of their shingle sets.
-NEAR = 0.8
-#: Classes in a block of a band, about; blocks are compared two by two.
-BLOCK = 32
+#: Bands, and minima in each: of pairs with a similarity of 0.8 all but one in 2,800 share a band, with 0.85 all but one in 60,000.
+BANDS, ROWS = 20, 5
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 2
 
@@ -70,52 +67,58 @@ def _rank(bounds: list[int], doc_id: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(above(at + s - 1), at + s).otherwise(at))
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, group_id long, group_size long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, ahead, doc_id, text) in order; each row of a part needs the one after it, the last the row that is ``ahead``."""
-    held: tuple[int, list, list[str]] = (-1, [], [])
+    """Rows (part, ahead, doc_id, text, group_id, group_size) in order; each row of a part needs the one after it, the last the row that is ``ahead``.
+
+    A row with a group says what group the following rows of its doc_id are in.
+    """
+    now, names, texts = -1, [], []
+    group: tuple = (None, None, None)
     for b in batches:
-        parts, ahead = b.column(0).to_pylist(), b.column(1).to_pylist()
-        ids, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
-        for part, late, name, text in zip(parts, ahead, ids, texts, strict=True):
-            now, names, held_texts = held
+        for part, late, name, text, group_id, group_size in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             if part != now:
-                held = now, names, held_texts = part, [], []
-            if late and len(names) == len(held_texts) - 1:
+                now, names, texts = part, [], []
+            if group_size is not None:
+                group = name, group_id, group_size
+                continue
+            if late and len(names) == len(texts) - 1:
                 continue  # another row of the same doc_id; the first has been used
-            held_texts.append(text or "")
+            texts.append(text or "")
             if not late:
-                names.append(name)
-                if sum(map(len, held_texts[-64:])) < 1 << 19 and len(held_texts) < 1024:
+                names.append((name, *(group[1:] if name is not None and name == group[0] else (name, 1))))
+                if sum(map(len, texts[-64:])) < 1 << 19 and len(texts) < 1024:
                     continue
-                if len(held_texts) > 1:
-                    yield _fingerprints(names[:-1], held_texts)
-                    held = part, names[-1:], held_texts[-1:]
+                if len(texts) > 1:
+                    yield _fingerprints(names[:-1], texts)
+                    names, texts = names[-1:], texts[-1:]
             elif names:
-                yield _fingerprints(names, held_texts)
-                held = part, [], held_texts[-1:]
+                yield _fingerprints(names, texts)
+                names, texts = [], texts[-1:]
 
 
-def _fingerprints(names: list, texts: list[str]) -> pa.RecordBatch:
-    """Of all ``texts`` but the last, which only follows them."""
+def _fingerprints(names: list[tuple], texts: list[str]) -> pa.RecordBatch:
+    """Of all ``texts`` but the last, which only follows them; ``names`` are (doc_id, group_id, group_size)."""
     n = [len(t) for t in texts[:-1]]
     edited = [t[: k - k // 2] + after[: k // 2] for t, after, k in zip(texts, texts[1:], n, strict=False)]
     own, new = signatures(pa.array(texts, pa.large_string())), signatures(pa.array(edited, pa.large_string()))
+    ids, groups, sizes = zip(*names, strict=True)
     columns = [
-        pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
+        pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
         pa.array(hexed(own[:-1])), pa.array(hexed(new)), pa.array(likeness(own[:-1], new)), pa.array(likeness(own[:-1], own[1:])),
+        pa.array(groups, pa.int64()), pa.array(sizes, pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _OUT.split(", ")])
 
 
-def fingerprint_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Fingerprints of ``docs`` (doc_id, text) and of their edited texts, which end with the next document's start.
+def fingerprint_edits(spark: SparkSession, docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Fingerprints of ``docs`` (doc_id, text) and of their edited texts, which end with the next document's start, and the ``groups`` (doc_id, group_id, group_size) that they are in.
 
     The next document is the one before it by doc_id; the first follows the last. Texts are shuffled once, by ranges of doc_id; the first row of each range is sent to the range before it as well.
     Null text: empty. Null doc_id: after all others. Rows of one doc_id follow each other by a hash of their text.
-    A single row follows itself. A text without words is like others without words only. Other columns go.
+    A single row follows itself. A text without words is like others without words only. Without a row in ``groups`` a document is a group of its own. Other columns go.
     """
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -135,121 +138,78 @@ def fingerprint_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     here = F.struct(F.col("part").alias("part"), F.lit(0).alias("ahead"))
     there = F.struct(F.get(prior, F.col("part")).alias("part"), F.lit(1).alias("ahead"))
     rows = docs.withColumn("part", part).withColumn("to", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))))
-    rows = rows.select("to.part", "to.ahead", "doc_id", "text").repartition(shuffles, "part")
-    rows = rows.sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    none = F.lit(None).cast("long")
+    rows = rows.select("to.part", "to.ahead", "doc_id", "text", none.alias("group_id"), none.alias("group_size"))
+    if groups is not None:  # small rows that go where their documents go
+        rows = rows.union(groups.select(part.alias("part"), F.lit(0), "doc_id", F.lit(None).cast("string"), "group_id", "group_size"))
+    rows = rows.repartition(shuffles, "part")
+    rows = rows.sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), F.col("group_size").isNull(), F.xxhash64("text"))
     return rows.mapInArrow(_runs, _OUT)
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    out: list[np.ndarray] = []
-    for _, raw, offsets in textvec.chunks(texts):
-        h, bounds = textvec.shingles(*textvec.words(raw, offsets), SHINGLE)
-        out += [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return out
-
+_SKETCH = "doc_id long, class binary, n long, bands array<long>"
 
-def _compare(t: pa.Table, near: float) -> pa.Table:
-    """Links (a, b) between rows (at, band, i, j, block, doc_id, group, n, bands, text) of two blocks of a band, or within one if i = j.
 
-    Left out: pairs of one group, pairs that share an earlier band, and pairs that the links found before connect.
-    """
-    at, within = t["at"][0].as_py(), t["i"][0].as_py() == t["j"][0].as_py()
-    ids, block, n = (t[c].to_numpy() for c in ("doc_id", "block", "n"))
-    bands = np.array(t["bands"].to_pylist(), dtype=np.int64)
-    group, texts = t["group"].to_pylist(), t["text"]
-    above: dict = {}
-    sets: dict[int, np.ndarray] = {}
-
-    def top(g: int) -> int:
-        while g in above:
-            g = above[g]
-        return g
-
-    def shingled(x: int) -> np.ndarray:
-        if x not in sets:
-            sets[x] = shingle_sets(pa.array([texts[x].as_py()], pa.large_string()))[0]
-        return sets[x]
-
-    left, right = [], []
-    for x in range(len(ids) - 1):
-        rest = slice(x + 1, None)
-        # a similarity of near needs sizes as near to each other
-        may = (np.minimum(n[rest], n[x]) >= near * np.maximum(n[rest], n[x])) & ((bands[rest] == bands[x]).argmax(axis=1) == at)
-        for y in np.flatnonzero(may & (within | (block[rest] != block[x]))) + x + 1:
-            g, o = top(group[x]), top(group[y])
-            if g == o:
-                continue
-            same = len(np.intersect1d(shingled(x), shingled(y), assume_unique=True))
-            if same > 0 and same >= near * (len(sets[x]) + len(sets[y]) - same):
-                above[g] = o
-                left.append(ids[x])
-                right.append(ids[y])
-    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, near: float = NEAR) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, group_id): groups of texts linked by a Jaccard similarity of ``near`` or more.
-
-    Equal shingle sets are one class. First every class meets the smallest and the greatest of each band that it is in, so
-    that large groups of near copies come together by links that grow with the documents. Then all classes of a band that still
-    lie in different groups are compared, in blocks of about ``BLOCK`` classes chosen by a hash, two blocks in a task, so that
-    each pair that shares a band is either verified over whole texts or linked already.
-    Texts without words are alone. Null doc_id: kept out. Repeated rows: one.
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(1)
+        sigs, sets = signatures(texts), token_sets(texts, SHINGLE)
+        rows = sigs[:, : BANDS * ROWS].reshape(len(sigs), BANDS, ROWS).astype(np.uint64)
+        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) << np.uint64(20), rows.shape[:2])
+        for i in range(ROWS):
+            key = textvec.mix(key ^ rows[:, :, i])
+        names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))],
+            ["doc_id", "class", "n", "bands"],
+        )
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` (doc_id, text) as (doc_id, group_id): groups of texts linked by a Jaccard similarity of num / den or more of their shingle sets.
+
+    Texts whose signatures agree in one of the bands are candidates, and every link is verified over whole texts. Equal sets are one class.
+    First each class is compared with the smallest of every band that it is in, so that large groups of near copies come together by
+    comparisons that grow with the documents. Then in each band that still holds several groups all its classes are compared with each other,
+    dealt out in parts, so that no pair that shares a band is left out. Bands of the same classes are opened once.
+    group_id is the smallest doc_id of a group. Texts without words are alone. Null doc_id: kept out. Repeated rows: one. Rows of one doc_id and different texts: each the group of its text.
     """
-    small_batches(spark)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sigs, texts = signatures(b.column(1)), shingle_sets(b.column(1))
-            bands = sigs.reshape(len(sigs), BANDS, -1).astype(np.uint64)
-            key = np.zeros(bands.shape[:2], np.uint64)
-            for i in range(bands.shape[2]):
-                key = textvec.mix(key ^ (bands[:, :, i] + np.arange(BANDS, dtype=np.uint64) * np.uint64(1 << 20)))
-            sets = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sets, pa.binary()), pa.array([len(s) for s in texts], pa.int32()), pa.array(list(key.astype(np.int64)), pa.list_(pa.int64()))],
-                ["doc_id", "class", "n", "bands"],
-            )
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = shingle_sets(b.column(2)), shingle_sets(b.column(3))
-            same = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
-            ok = pa.array([s > 0 and s >= near * (len(x) + len(y) - s) for s, x, y in zip(same, left, right, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(ok)
-
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     with Scratch(spark, "minhash") as scratch:
-        made = scratch.cut(docs.mapInArrow(sketch, "doc_id long, class binary, n int, bands array<long>"), "sketch")
-        classes = made.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
-        member = scratch.cut(made.join(classes, "class", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "member")
-        reps = scratch.cut(made.join(classes.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"], "left_semi").where("n > 0").dropDuplicates(["doc_id"]).select("doc_id", "bands", "n"), "reps")
-        texts = docs.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        with batches_of(spark, ARROW_ROWS):
+            made = scratch.cut(docs.mapInArrow(_sketch, _SKETCH), "sketch")
+        classes = scratch.cut(made.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
+        reps = made.select("doc_id", "class", "bands").join(classes.toDF("class", "doc_id"), ["class", "doc_id"], "left_semi").dropDuplicates(["class", "doc_id"])
         keyed = reps.select("doc_id", F.explode("bands").alias("band"))
-        ends = keyed.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-        met = keyed.join(ends, "band").select(F.col("doc_id").alias("a"), F.explode(F.array("first", "last")).alias("o"))
-        pairs = scratch.cut(met.where("a <> o").select(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b")).distinct(), "pairs")
-        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        links = scratch.cut(both.mapInArrow(verify, "a long, b long"), "links")
-
-        def grouped(links: DataFrame) -> DataFrame:
-            found = components(scratch, links).toDF("doc_id", "component")
-            return scratch.cut(reps.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group")), "groups")
-
-        known = reps.join(grouped(links), "doc_id")
-        keyed = known.select("doc_id", "group", F.posexplode("bands").alias("at", "band"))
-        open_bands = keyed.groupBy("at", "band").agg(F.count("*").alias("many"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-        blocks = F.ceil(F.col("many") / BLOCK)
-        placed = keyed.join(open_bands.select("at", "band", blocks.alias("blocks")), ["at", "band"])
-        placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        placed = placed.select("at", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "group")
-        placed = placed.join(reps, "doc_id").join(texts, "doc_id").select("at", "band", "i", "j", "block", "doc_id", "group", "n", "bands", "text")
-        more = scratch.cut(placed.groupBy("at", "band", "i", "j").applyInArrow(lambda t: _compare(t, near), "a long, b long"), "links")
-        groups = grouped(links.union(more))
+        shared = keyed.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("many"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).where("many > 1")
+        shared = scratch.cut(shared, "shared")
+        met = only(scratch, keyed, "band", shared.select("band")).join(shared, "band")
+        met = scratch.cut(met.select("doc_id", "band", "first", "many", "members"), "met")
+        led = met.where("doc_id <> first").select(F.col("doc_id").alias("query"), F.col("first").alias("grp")).distinct()
+        alone = met.select(F.col("first").alias("doc_id")).distinct().select("doc_id", F.col("doc_id").alias("grp"), F.lit(1).alias("size"))
+        links = open_groups(scratch, docs, led, alone, None, SHINGLE, num, den)
+        linked = scratch.cut(components(scratch, links), "linked")
+        of = met.join(linked.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        # of bands with the same members one is enough
+        several = of.groupBy("band", "many", "members").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        several = several.groupBy("many", "members").agg(F.min("band").alias("band"))
+        members = met.select("doc_id", "band").join(several.select("band", F.col("many").alias("size")), "band")
+        members = scratch.cut(members.select("doc_id", F.col("band").alias("grp"), "size"), "open")
+        more = open_groups(scratch, docs, members.select(F.col("doc_id").alias("query"), "grp"), members, linked, SHINGLE, num, den)
+        groups = components(scratch, links.union(more))
+        member = made.select("doc_id", "class").join(classes, "class", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()
         out = member.join(groups.toDF("rep", "group"), "rep", "left").select("doc_id", F.coalesce("group", "rep").alias("group_id"))
         return scratch.keep(out)
 
 
+def group_sizes(found: DataFrame) -> DataFrame:
+    """(doc_id, group_id, group_size) of those that aren't alone, of ``found`` (doc_id, group_id); the smallest group of a doc_id in several."""
+    found = found.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    return found.join(found.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1"), "group_id").select("doc_id", "group_id", "group_size")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    groups = Scratch(spark, "minhash").keep(group_sizes(near_duplicates(spark, docs)), "groups")
+    release(spark)
+    return fingerprint_edits(spark, docs, groups)

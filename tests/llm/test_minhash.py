@@ -72,6 +72,59 @@ def test_near_duplicates(spark):
     assert got == want
 
 
+def test_groups_with_their_fingerprints(spark):
+    base = [" ".join(f"w{d}x{i}" for i in range(120)) for d in range(4)]
+    rows = [(1, base[0]), (2, base[1]), (3, base[0] + " tail"), (9, base[0]), (9, base[0]), (5, None), (6, ""), (None, base[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = minhash.group_sizes(minhash.near_duplicates(spark, docs))
+    got = minhash.fingerprint_edits(spark, docs, groups).collect()
+    assert sorted((r["doc_id"] or -1, r["group_id"], r["group_size"]) for r in got) == [(-1, None, 1), (1, 1, 3), (2, 2, 1), (3, 1, 3), (5, 5, 1), (6, 6, 1), (9, 1, 3), (9, 1, 3)]
+    assert [r[:7] for r in got] == [r[:7] for r in minhash.fingerprint_edits(spark, docs).collect()]
+
+
+def test_documents_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], sets(r["text"] or "")) for r in docs.collect()]
+    parent = {d: d for d, _ in rows}
+
+    def top(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            if x and y and 10 * min(len(x), len(y)) >= 8 * max(len(x), len(y)) and jaccard(x, y) >= 0.8:
+                low, high = sorted((top(a), top(b)))
+                parent[high] = low
+    got = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(spark, docs).collect()}
+    assert got == {d: top(d) for d, _ in rows}
+    seen = minhash.op3_fingerprints(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: r["group_id"] for r in seen} == got
+    assert any(r["group_size"] > 1 for r in seen)
+
+
+def test_crowd_of_unlinked_texts(spark):
+    """A crowd alike but mostly not linked, in which some pairs are: nearly all of them come together."""
+    rng = np.random.default_rng(3)
+    shared = [f"w{i}" for i in range(300)]
+    texts = {}
+    for d in range(600):
+        own = [f"own{d}x{i}" for i in range(60)]
+        texts[d] = shared + own
+    for d in range(0, 600, 12):  # a linked partner
+        texts[1000 + d] = texts[d][:-8] + [f"new{d}x{i}" for i in range(8)]
+    rows = [(d, " ".join(t)) for d, t in texts.items()]
+    rng.shuffle(rows)
+    rows = [(int(d), str(t)) for d, t in rows]
+    whole = {d: sets(t) for d, t in rows}
+    pairs = [(d, 1000 + d) for d in range(0, 600, 12)]
+    assert all(jaccard(whole[a], whole[b]) >= 0.8 for a, b in pairs) and jaccard(whole[1], whole[2]) < 0.8
+    got = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert sum(got[d] == d for d in range(600) if d % 12) >= 0.98 * 550
+
+
 def test_linked_pair_among_unlinked_classes_of_its_bands(spark):
     shared = [f"w{i}" for i in range(340)]
     own = lambda d, n: [f"own{d}x{i}" for i in range(n)]
