@@ -85,7 +85,8 @@ PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    turns = turns.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
+    probe = ", ".join(f"({conv}L, {turn}L, '{role}', '{text}')" for conv, turn, role, text in PROBE)
+    turns = turns.unionByName(spark.sql(f"SELECT * FROM VALUES {probe} AS t(conv_id, turn, role, text)"))
     made = format_chats(turns)
     trained = unescape(F.substring(F.col("text"), (F.col("loss_start") + 1).cast("int"), F.col("loss_len").cast("int")))
     seen = made.groupBy("conv_id").agg(
