@@ -23,8 +23,8 @@ SHINGLE = 5
 PERMUTATIONS = 128
 #: Bands, and minima in each: of pairs with a similarity of 0.8 all but one in 2,800 share a band, with 0.85 all but one in 60,000.
 BANDS, ROWS = 20, 5
-#: Ranges of doc_id for each shuffle partition.
-RANGES = 2
+#: Ranges of doc_id for each shuffle partition; places that a group's rows are dealt to.
+RANGES, PLACES = 2, 8
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -205,7 +205,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
 def group_sizes(found: DataFrame) -> DataFrame:
     """(doc_id, group_id, group_size) of those that aren't alone, of ``found`` (doc_id, group_id); the smallest group of a doc_id in several."""
     found = found.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    return found.join(found.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1"), "group_id").select("doc_id", "group_id", "group_size")
+    sizes = found.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    # a large group's rows are dealt to several places, its size copied to each
+    places = found.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int"))
+    return places.join(sizes.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1)))), ["group_id", "place"]).select("doc_id", "group_id", "group_size")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
