@@ -41,6 +41,8 @@ MEMBERS, QUERIES = 512, 1000
 FILTER_BITS = 28
 #: Rows in an Arrow batch of numbers.
 NUMBER_ROWS = 50_000
+#: A token comes very often if its counter is above this number and so many times the mean; places that its rows are dealt to.
+OFTEN, OFTEN_TIMES, COPIES = 50_000, 20, 64
 _SLICE = 1 << 16
 
 _MULTIPLIERS = np.random.default_rng(99).integers(1, 1 << 62, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -283,11 +285,34 @@ def _matrix(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield work(held)
 
 
-def _asked(scratch: Scratch, grouped: DataFrame, num: int, den: int) -> DataFrame:
-    """(query, grp) of the groups whose union shares enough of a query's prefix."""
-    rows = grouped.select(F.explode("prefix").alias("token"), "grp", "doc_id", "n", "rank").repartition("token").sortWithinPartitions("token")
+def _frequent(spark: SparkSession, counts: np.ndarray) -> DataFrame | None:
+    """(slot) of the counters so high that their tokens' rows are dealt out apart. By their definition at most one in ``OFTEN_TIMES`` counters is."""
+    slots = np.flatnonzero(counts > max(OFTEN, OFTEN_TIMES * float(counts.mean()))) if len(counts) else counts
+    return spark.createDataFrame([(int(x),) for x in slots], "slot long") if len(slots) else None
+
+
+def _asked(scratch: Scratch, grouped: DataFrame, counts: np.ndarray, num: int, den: int) -> DataFrame:
+    """(query, grp) of the groups whose union shares enough of a query's prefix.
+
+    Rows of one token lie in one task. Those of tokens that come very often are taken apart: each group gives one row, with the range of its sizes, copied to
+    ``COPIES`` places among which the queries are dealt.
+    """
+    rows = grouped.select(F.explode("prefix").alias("token"), "grp", "doc_id", "n", "rank")
+    shared = None
+    frequent = _frequent(scratch.spark, counts)
+    if frequent is not None:
+        marked = rows.withColumn("slot", F.shiftrightunsigned("token", 64 - SKETCH_BITS)).join(F.broadcast(frequent.withColumn("often", F.lit(True))), "slot", "left").drop("slot")  # at most 2^20 / 20 rows
+        often, rows = scratch.cut(marked.where("often").drop("often"), "often"), marked.where("often is null").drop("often")
+        asks = often.select("token", F.col("grp").alias("own"), F.col("doc_id").alias("query"), "n", F.col("rank").alias("own_rank"), F.expr(f"pmod(xxhash64(doc_id), {COPIES})").cast("int").alias("copy"))
+        has = often.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("rank").alias("rank"))
+        has = has.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        up = "own <> grp and (own_rank < rank or (own_rank = rank and own > grp))"
+        met = asks.hint("merge").join(has, ["token", "copy"]).where(f"{up} and {num} * n <= {den} * hi and {num} * lo <= {den} * n")
+        shared = met.select("query", "grp", F.expr(f"least({EVIDENCE}, cast(ceil({num} * n / {den}) as long))").alias("evidence"))
+    rows = rows.repartition("token").sortWithinPartitions("token")
     with batches_of(scratch.spark, NUMBER_ROWS):
-        shared = rows.mapInArrow(lambda it: _matrix(it, num, den), "query long, grp long, evidence long")
+        plain = rows.mapInArrow(lambda it: _matrix(it, num, den), "query long, grp long, evidence long")
+        shared = plain if shared is None else plain.union(shared)
         return scratch.cut(shared.groupBy("query", "grp").agg(F.count("*").alias("hits"), F.first("evidence").alias("evidence")).where("hits >= evidence").select("query", "grp"), "asked")
 
 
@@ -315,7 +340,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         links = open_groups(scratch, named, led, alone, None, words, num, den)
         linked = scratch.cut(components(scratch, links), "linked")
         grouped = _groups(scratch, reps, led, linked)
-        asked = _asked(scratch, grouped, num, den).union(grouped.where("asks").select(F.col("doc_id").alias("query"), "grp"))
+        asked = _asked(scratch, grouped, counts, num, den).union(grouped.where("asks").select(F.col("doc_id").alias("query"), "grp"))
         more = open_groups(scratch, named, asked, grouped.select("doc_id", "grp", "size"), linked, words, num, den)
         found = components(scratch, links.union(more))
         member = sets.select("doc_id", "n", "class").join(classes, "class", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))

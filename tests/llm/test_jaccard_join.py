@@ -50,8 +50,9 @@ def test_documents(spark):
     assert got(jaccard_join.op7_jaccard_join(spark, "/root/testdata/sf0.01")) == brute(rows, 3, 90, 100)
 
 
-@pytest.mark.parametrize("k,num,seed", [(3, 90, 1), (5, 80, 2), (2, 70, 3)])
-def test_chains_and_hot_groups(spark, k, num, seed, monkeypatch):
+@pytest.mark.parametrize("k,num,seed,often", [(3, 90, 1, 50_000), (5, 80, 2, 2), (2, 70, 3, 2)])
+def test_chains_and_hot_groups(spark, k, num, seed, often, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "OFTEN", often)
     monkeypatch.setattr(jaccard_join, "MEMBERS", 5)
     monkeypatch.setattr(jaccard_join, "QUERIES", 4)
     r = random.Random(seed)
@@ -75,3 +76,12 @@ def test_chains_and_hot_groups(spark, k, num, seed, monkeypatch):
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(spark, frame).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 2, "x"), (1, "a b c d e f g", 1, "y"), (2, "a b c d e f g", 0, "z"), (None, "q", 1, "n"), (None, "q", 1, "m"), (None, None, 1, "n"), (3, "", 5, "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int, _sl_0 string")
+    for _ in range(2):
+        kept = jaccard_join.one_of_each(spark, docs.repartition(3))
+        assert kept.columns == docs.columns
+        assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [rows[1], rows[4], rows[5], rows[6]]))
