@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bases in a bin.
-BIN = 1 << 14
+#: log2 of the bases in a bin, by level. An interval lies in bins of the first level on which it has few; the last level holds contigs whole.
+LEVELS = (14, 18, 22, 26, 62)
+#: Bins that an interval has at most on its level, but for one more at its edge.
+FEW = 16
 
 
-def _bins(start: Column, end: Column) -> Column:
-    return F.explode(F.sequence(F.floor(start / BIN), F.floor(F.greatest(start, end) / BIN)))
+def _level(start: Column, end: Column) -> Column:
+    out = F.lit(len(LEVELS) - 1)
+    for i, bits in reversed(list(enumerate(LEVELS[:-1]))):
+        out = F.when(end - start < FEW << bits, i).otherwise(out)
+    return out
+
+
+def _bin(at: Column, level: Column) -> Column:
+    return F.call_function("shiftright", at, F.element_at(F.array(*map(F.lit, LEVELS)), level + 1))
 
 
 def overlaps(left: DataFrame, right: DataFrame, start: Column, end: Column, r_start: str = "start", r_end: str = "end", how: str = "inner", key: str = "site_id") -> DataFrame:
     """Joins ``left`` (chrom, spans ``start`` to ``end``, both inclusive) to ``right`` (chrom, r_start, r_end; null = unbounded).
 
     ``how``: ``inner`` (a row for each overlap), ``left_semi`` or ``left_anti``. A pair in several bins is made in the first bin both
-    have. Spark broadcasts the intervals if their measured size allows it, and shuffles by (chrom, bin) otherwise.
+    have. Spark broadcasts the intervals if their measured size allows it, and shuffles by (chrom, level, bin) otherwise. Wide intervals lie in wide bins, so that
+    neither they nor what they meet are spread over many; a span of ``left`` asks on every level.
     """
     span = left.withColumn("_s", start.cast("long")).withColumn("_e", end.cast("long"))
     r = right.select(
@@ -26,13 +36,13 @@ def overlaps(left: DataFrame, right: DataFrame, start: Column, end: Column, r_st
         F.coalesce(F.col(r_end), F.lit(1 << 32)).cast("long").alias("_re"),
         *(F.col(c) for c in right.columns if c not in ("chrom", r_start, r_end) and how == "inner"),
     )
-    wide = F.col("_re") - F.col("_rs") > 64 * BIN
-    bounded = r.where(~wide).withColumn("_rb", _bins(F.col("_rs"), F.col("_re")))
     if how == "inner":
-        open_ended = r.where(wide)
-        near = span.withColumn("_b", _bins(F.col("_s"), F.col("_e"))).join(bounded, (F.col("chrom") == F.col("_rc")) & (F.col("_b") == F.col("_rb")) & (F.col("_s") <= F.col("_re")) & (F.col("_rs") <= F.col("_e")))
-        near = near.where(F.col("_b") == F.greatest(F.floor(F.col("_s") / BIN), F.floor(F.col("_rs") / BIN))).drop("_b", "_rb")
-        far = span.join(open_ended, (F.col("chrom") == F.col("_rc")) & (F.col("_s") <= F.col("_re")) & (F.col("_rs") <= F.col("_e")))
-        return near.unionByName(far).drop("_s", "_e", "_rc").withColumnRenamed("_rs", r_start).withColumnRenamed("_re", r_end)
+        r = r.withColumn("_rl", _level(F.col("_rs"), F.col("_re"))).withColumn("_rb", F.explode(F.sequence(_bin(F.col("_rs"), F.col("_rl")), _bin(F.greatest("_rs", "_re"), F.col("_rl")))))
+        span = span.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(len(LEVELS) - 1))))
+        span = span.withColumn("_b", F.explode(F.sequence(_bin(F.col("_s"), F.col("_l")), _bin(F.greatest("_s", "_e"), F.col("_l")))))
+        met = (F.col("chrom") == F.col("_rc")) & (F.col("_l") == F.col("_rl")) & (F.col("_b") == F.col("_rb"))
+        near = span.join(r, met & (F.col("_s") <= F.col("_re")) & (F.col("_rs") <= F.col("_e")))
+        near = near.where(F.col("_b") == F.greatest(_bin(F.col("_s"), F.col("_l")), _bin(F.col("_rs"), F.col("_l")))).drop("_b", "_rb", "_l", "_rl")
+        return near.drop("_s", "_e", "_rc").withColumnRenamed("_rs", r_start).withColumnRenamed("_re", r_end)
     hit = overlaps(left.select(key, "chrom", start.alias("_a"), end.alias("_z")), right.select("chrom", r_start, r_end), F.col("_a"), F.col("_z"), r_start, r_end).select(key).distinct()
     return left.join(hit, key, how)

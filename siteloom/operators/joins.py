@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +29,11 @@ def collapse_key(mode: str = "none") -> list[Column]:
 
 
 def groups(inputs: list[DataFrame], mode: str = "none") -> DataFrame:
-    """(chrom, pos, what, mask, n, sites): one shuffle for all inputs. Bit i of ``mask``: input i has it; ``sites``: input to its first site_id."""
+    """(chrom, pos, what, mask, n, sites): one shuffle for all inputs. Bit i of ``mask``: input i has it (null with more than 63 inputs); ``sites``: input to its first site_id."""
     rows = reduce(DataFrame.unionByName, [d.select(*collapse_key(mode), F.lit(i).alias("input"), "site_id") for i, d in enumerate(inputs)])
     per = rows.groupBy("chrom", "pos", "what", "input").agg(F.min("site_id").alias("site_id"))
     return per.groupBy("chrom", "pos", "what").agg(
-        F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("input"))).alias("mask"), F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("input", "site_id"))).alias("sites")
+        F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("input")) if len(inputs) <= 63 else F.lit(None).cast("long")).alias("mask"), F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("input", "site_id"))).alias("sites")
     )
 
 
@@ -48,8 +46,9 @@ def in_at_least(g: DataFrame, n: int) -> DataFrame:
 
 
 def with_mask(g: DataFrame, bits: str) -> DataFrame:
-    """``bits``: one character for each input, from the first."""
-    return g.where(F.col("mask") == sum(1 << i for i, b in enumerate(bits) if b == "1"))
+    """``bits``: one character for each input, from the first; any number of them."""
+    wanted = [i for i, b in enumerate(bits) if b == "1"]
+    return g.where((F.col("n") == len(wanted)) & F.forall(F.array(*map(F.lit, wanted)).cast("array<int>"), lambda i: F.map_contains_key("sites", i)))
 
 
 def only_first(first: DataFrame, others: list[DataFrame], mode: str = "none") -> DataFrame:
@@ -221,26 +220,17 @@ def ld_r2(gt: DataFrame, sites: DataFrame, window: int) -> DataFrame:
 
 
 def overlap_min_qual(sites: DataFrame) -> DataFrame:
-    """Sites left after the lowest QUAL of overlapping ones is taken out, again and again, within each island of overlaps."""
-    from siteloom.operators.windows import islands
-
-    d = islands(sites.withColumn("_end", V.end(F.col("pos"), F.col("ref"), F.lit(None))), "_island", F.col("_end"))
-    n = d.groupBy("chrom", "_island").agg(F.count("*").alias("_n"))
-    d = d.join(n, ["chrom", "_island"])
-
-    def greedy(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["pos", "site_id"])
-        start, end = p["pos"].to_numpy(), p["_end"].to_numpy()
-        q = p["qual"].fillna(0).to_numpy(dtype=float)
-        left = np.ones(len(p), bool)
-        order = sorted(range(len(p)), key=lambda i: (q[i], -i))
-        for i in order:
-            if (left & (start <= end[i]) & (end >= start[i])).sum() > 1:
-                left[i] = False
-        return p.loc[left, ["site_id"]]
-
-    alone = d.where("_n = 1").select("site_id")
-    return alone.union(d.where("_n > 1").select("chrom", "_island", "site_id", "pos", "_end", "qual").groupBy("chrom", "_island").applyInPandas(greedy, "site_id long"))
+    """Sites left after the lowest QUAL of overlapping ones is taken out, again and again (of equal ones the later).
+
+    When a site's turn comes, all that rank above it are still there. So it goes if any of them overlaps it, and what else goes doesn't matter: an interval join.
+    """
+    from siteloom.operators.intervals import overlaps
+
+    rank = F.struct(F.coalesce("qual", F.lit(0.0)).alias("q"), (-F.col("pos")).alias("p"), (-F.col("site_id")).alias("s"))
+    end = V.end(F.col("pos"), F.col("ref"), F.lit(None))
+    other = sites.select("chrom", F.col("pos").alias("_sl_from"), end.alias("_sl_to"), rank.alias("_sl_other"))
+    met = overlaps(sites.select("site_id", "chrom", "pos", "ref", rank.alias("_sl_rank")), other, F.col("pos"), end, "_sl_from", "_sl_to")
+    return sites.join(met.where("_sl_other > _sl_rank").select("site_id").distinct(), "site_id", "left_anti")
 
 
 def concat(inputs: list[DataFrame], drop: str | None = None) -> DataFrame:

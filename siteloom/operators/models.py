@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,17 @@ def _transmission(mutation: float) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+ROLES = ("child", "father", "mother")
+
+
+def by_role(gt: DataFrame, trios: list[tuple[str, str, str]], value: str) -> DataFrame:
+    """(site_id, trio, child, father, mother): ``value`` of the three, where all have a row. A sample may be in many trios."""
+    who = gt.sparkSession.createDataFrame([(s, i, r) for i, t in enumerate(trios) for s, r in zip(t, ROLES, strict=True)], "sample string, trio int, role string")
+    d = gt.select("site_id", "sample", value).join(F.broadcast(who), "sample")  # as large as the pedigree given
+    pick = [F.first(F.when(F.col("role") == r, F.col(value)), ignorenulls=True).alias(r) for r in ROLES]
+    return d.groupBy("site_id", "trio").agg(*pick).dropna(subset=list(ROLES))
+
+
 def de_novo_probability(pl: np.ndarray, mutation: float = MUTATION, alt: float = ALT_PRIOR) -> np.ndarray:
     """P of a new mutation in each row of (child, father, mother) x three phred-scaled likelihoods."""
     mendel, total = _transmission(mutation)
@@ -56,18 +67,24 @@ def de_novo_probability(pl: np.ndarray, mutation: float = MUTATION, alt: float =
     return new / joint.reshape(len(pl), -1).sum(axis=1)
 
 
-def de_novo_posterior(trios: DataFrame, gt: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-    """(site_id, trio, p): the posterior of a new mutation from the trio's likelihoods (``pl`` of ``gt``)."""
-    pick = lambda s: F.first(F.when(F.col("sample") == s, F.col("pl")), ignorenulls=True)
-    pls = gt.where(F.col("sample").isin(*names)).groupBy("site_id").agg(*(pick(s).alias(f"pl{i}") for i, s in enumerate(names)))
-    d = trios.select("site_id", "trio").join(pls, "site_id").dropna()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            pl = np.array([[*x] for c in ("pl0", "pl1", "pl2") for x in p[c]], dtype=float).reshape(3, len(p), 3).transpose(1, 0, 2)
-            yield p[["site_id", "trio"]].assign(p=de_novo_probability(pl) if len(p) else [])
+def de_novo_posterior(gt: DataFrame, trios: list[tuple[str, str, str]], mutation: float = MUTATION, alt: float = ALT_PRIOR) -> DataFrame:
+    """(site_id, trio, p): the posterior of a new mutation in each of ``trios`` (child, father, mother), from the likelihoods ``pl`` of ``gt``.
 
-    return d.mapInPandas(run, "site_id long, trio int, p double")
+    A sum over the 27 combinations of copies, as one expression; sites where one of the three has no row are left out.
+    """
+    mendel, total = _transmission(mutation)
+    parent = [(1 - alt) ** 2, 2 * alt * (1 - alt), alt**2]
+    d = by_role(gt, trios, "pl")
+    like = {r: [F.pow(F.lit(10.0), -F.get(r, F.lit(i)) / 10) for i in range(3)] for r in ROLES}
+    new, every = [], []
+    for c in range(3):
+        for f in range(3):
+            for m in range(3):
+                x = like["child"][c] * like["father"][f] * like["mother"][m] * float(total[c, f, m] * parent[f] * parent[m])
+                every.append(x)
+                if mendel[c, f, m] == 0:
+                    new.append(x)
+    return d.select("site_id", "trio", (reduce(Column.__add__, new) / reduce(Column.__add__, every)).alias("p"))
 
 
 def guess_ploidy(gt: DataFrame) -> DataFrame:
@@ -84,13 +101,14 @@ def guess_ploidy(gt: DataFrame) -> DataFrame:
     return out.withColumn("sex", F.when(F.col("haploid") > F.col("diploid"), "M").when(F.col("haploid") < F.col("diploid"), "F").otherwise("U"))
 
 
-def parental_origin(trios: DataFrame, gt: DataFrame, child: str) -> DataFrame:
-    """(trio, n, paternal, maternal): log likelihoods of a duplication's origin from the child's ALT reads where parents are opposite homozygotes."""
-    reads = gt.where(F.col("sample") == child).select("site_id", F.get("ad", F.lit(0)).alias("r"), F.get("ad", F.lit(1)).alias("v"))
-    hom = lambda c, x: F.forall(c, lambda a: a.eqNullSafe(F.lit(x)))
-    d = trios.join(reads, "site_id").where((hom("father", 1) & hom("mother", 0)) | (hom("father", 0) & hom("mother", 1)))
+def parental_origin(gt: DataFrame, trios: list[tuple[str, str, str]]) -> DataFrame:
+    """(trio, n, paternal, maternal) for each of ``trios`` (child, father, mother): log likelihoods of a duplication's origin from its child's ALT reads
+    where parents are opposite homozygotes."""
+    hom = lambda c, x: F.forall(F.col(c)["alleles"], lambda a: a.eqNullSafe(F.lit(x)))
+    d = by_role(gt.withColumn("_sl_call", F.struct("alleles", "ad")), trios, "_sl_call").where((hom("father", 1) & hom("mother", 0)) | (hom("father", 0) & hom("mother", 1)))
     alt_is_father = hom("father", 1)
-    ll = lambda p: F.col("v") * F.ln(p) + F.col("r") * F.ln(1 - p)
+    r, v = (F.get(F.col("child")["ad"], F.lit(i)) for i in (0, 1))
+    ll = lambda p: v * F.ln(p) + r * F.ln(1 - p)
     two, one = F.lit(2 / 3), F.lit(1 / 3)
     return d.groupBy("trio").agg(F.count("*").alias("n"), F.sum(ll(F.when(alt_is_father, two).otherwise(one))).alias("paternal"), F.sum(ll(F.when(alt_is_father, one).otherwise(two))).alias("maternal"))
 

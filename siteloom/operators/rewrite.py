@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def sample_subset(gt: DataFrame, names: list[str], exclude: bool = False) -> Dat
     return gt.where(~hit if exclude else hit)
 
 
+def drop_genotypes(sites: DataFrame) -> DataFrame:
+    """Frames read from VCF without their samples."""
+    return sites.withColumn("samples", F.slice("samples", 1, 0)).withColumn("format", F.slice("format", 1, 0))
+
+
 def rename_contigs(sites: DataFrame, names: DataFrame) -> DataFrame:
     """``names`` (old, new); contigs that aren't in it keep their name."""
     return sites.join(names.select(F.col("old").alias("chrom"), F.col("new").alias("_new")), "chrom", "left").withColumn("chrom", F.coalesce("_new", "chrom")).drop("_new")
@@ -224,6 +231,35 @@ def worst_consequence(rows: DataFrame, column: str, fields: list[str], keep: tup
     return each.groupBy(*keep).agg(best.alias("_b")).select(*keep, "_b.*")
 
 
+def select_consequences(rows: DataFrame, column: str, fields: list[str], keep: tuple[str, ...], select: str = "all", severity: str | None = None) -> DataFrame:
+    """The transcripts that are asked for: ``all``, ``worst``, ``primary`` (CANONICAL is YES), ``pick`` (PICK is 1), ``mane`` (MANE_SELECT isn't empty), or ``FIELD=value``; and
+    of those the ones at a ``severity``: a term, or a term with ``+`` (it or worse) or ``-`` (it or milder). A transcript is as severe as its worst term."""
+    each = split_consequences(rows, column, fields, keep)
+    if severity:
+        term = severity.rstrip("+-")
+        limit = SEVERITY.index(term) if term in SEVERITY else len(SEVERITY)
+        at = F.col("severity")
+        each = each.where(at >= limit if severity.endswith("+") else at <= limit if severity.endswith("-") else at == limit)
+    if select == "worst":
+        best = F.max_by(F.struct("nth", *fields, "severity"), F.struct("severity", -F.col("nth")))
+        return each.groupBy(*keep).agg(best.alias("_sl_b")).select(*keep, "_sl_b.*")
+    if select == "all":
+        return each
+    field, _, value = {"primary": "CANONICAL=YES", "pick": "PICK=1", "mane": "MANE_SELECT="}.get(select, select).partition("=")
+    return each.where(F.col(field) != "" if select == "mane" else F.col(field) == value)
+
+
+def join_transcripts(each: DataFrame, template: str, keep: tuple[str, ...], sep: str = ",") -> DataFrame:
+    """``line``: the template (``%Field``, ``.`` where empty) of each transcript in order, joined."""
+    parts, at = [], 0
+    for m in re.finditer(r"%(\w+)", template):
+        parts += [F.lit(template[at : m.start()]), F.when(F.col(m[1]) != "", F.col(m[1])).otherwise(".")]
+        at = m.end()
+    text = F.concat(*parts, F.lit(template[at:]))
+    lines = F.array_sort(F.collect_list(F.struct("nth", text.alias("x"))))
+    return each.groupBy(*keep).agg(F.array_join(F.transform(lines, lambda r: r["x"]), sep).alias("line"))
+
+
 def expand_blocks(blocks: DataFrame) -> DataFrame:
     """Reference blocks (chrom, pos, end) to a row for each base."""
     return blocks.withColumn("pos", F.explode(F.sequence(F.col("pos"), F.col("end"))))

@@ -59,6 +59,16 @@ def fill_sum(gt: DataFrame, name: str, value: Column) -> DataFrame:
     return gt.groupBy("site_id").agg(F.sum(value).alias(name))
 
 
+def fill_expressions(sites: DataFrame, tags: dict[str, str]) -> DataFrame:
+    """INFO tags of frames read from VCF by expressions over record and samples; a missing value leaves the tag out."""
+    from siteloom.functions.expression import compile_value, vcf_scope
+    from siteloom.functions.template import number_text
+
+    values = F.array(*(F.struct(F.lit(tag).alias("key"), F.array(number_text(compile_value(text, vcf_scope()).cast("double"))).alias("value")) for tag, text in tags.items()))
+    made = F.map_from_entries(F.filter(values, lambda e: F.get(e["value"], F.lit(0)).isNotNull()))
+    return sites.withColumn("info", F.map_concat(F.map_filter("info", lambda k, _: ~k.isin(*tags)), made))
+
+
 def dosage(a: Column) -> Column:
     """Copies of ALT in a call; -1 if an allele is missing."""
     return F.when(G.any_missing(a), F.lit(-1.0)).otherwise(F.size(F.filter(a, lambda x: x > 0)).cast("double"))

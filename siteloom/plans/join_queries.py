@@ -165,9 +165,10 @@ def ad_bias(spark: SparkSession, d: str) -> DataFrame:
     return J.pair_bias(genotypes(spark, d), [("S1", "S2"), ("S3", "S4")]).withColumn("p", F.round("p", 6))
 
 
-@query()
+@query(""", e AS (SELECT *, pos + length(ref) - 1 AS e, coalesce(qual, 0) AS q FROM site)
+SELECT site_id FROM e s WHERE NOT EXISTS (SELECT 1 FROM e t WHERE t.chrom = s.chrom AND t.site_id <> s.site_id AND t.pos <= s.e AND t.e >= s.pos AND (t.q > s.q OR (t.q = s.q AND (t.pos < s.pos OR (t.pos = s.pos AND t.site_id < s.site_id)))))""")
 def overlap_min_qual(spark: SparkSession, d: str) -> DataFrame:
-    return J.overlap_min_qual(sites(spark, d))
+    return J.overlap_min_qual(sites(spark, d)).select("site_id")
 
 
 @query(""", n AS (SELECT site_id, sample, coalesce(a0 > 0, false)::INT + coalesce(a1 > 0, false)::INT AS x FROM gt WHERE a0 IS NOT NULL AND (ploidy = 1 OR a1 IS NOT NULL)),
@@ -213,18 +214,10 @@ def dup_positions(spark: SparkSession, d: str) -> DataFrame:
     return W.duplicated(sites(spark, d)).select("site_id", "dup")
 
 
-@query(""", c AS (SELECT CASE WHEN g.site_id % 50 < 25 THEN 2 ELSE 1 END AS pl, g.sample, s.chrom, s.pos, s.site_id FROM gt g JOIN site s ON g.site_id = s.site_id WHERE sample_id <= 3 AND (a0 IS NOT NULL OR (a1 IS NOT NULL AND g.site_id % 50 < 25))),
-l AS (SELECT *, lag(pl) OVER (PARTITION BY sample, chrom ORDER BY pos, site_id) AS was FROM c), r AS (SELECT *, sum(CASE WHEN was = pl THEN 0 ELSE 1 END) OVER (PARTITION BY sample, chrom ORDER BY pos, site_id ROWS UNBOUNDED PRECEDING) AS run FROM l)
-SELECT sample, chrom, CAST(pl AS INT) AS ploidy, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM r GROUP BY sample, chrom, run, pl""")
-def check_ploidy(spark: SparkSession, d: str) -> DataFrame:
-    g = genotypes(spark, d).where("sample_id <= 3").withColumn("alleles", F.when(F.col("site_id") % 50 < 25, F.col("alleles")).otherwise(F.slice("alleles", 1, 1)))
-    return W.ploidy_runs(g.join(sites(spark, d).select("site_id", "chrom", "pos"), "site_id"))
-
-
 @query(""", c AS (SELECT g.ploidy AS pl, g.sample, s.chrom, s.pos, s.site_id FROM gt g JOIN site s ON g.site_id = s.site_id WHERE a0 IS NOT NULL OR a1 IS NOT NULL),
 l AS (SELECT *, lag(pl) OVER (PARTITION BY sample, chrom ORDER BY pos, site_id) AS was FROM c), r AS (SELECT *, sum(CASE WHEN was = pl THEN 0 ELSE 1 END) OVER (PARTITION BY sample, chrom ORDER BY pos, site_id ROWS UNBOUNDED PRECEDING) AS run FROM l)
 SELECT sample, chrom, CAST(pl AS INT) AS ploidy, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM r GROUP BY sample, chrom, run, pl""")
-def check_ploidy_whole(spark: SparkSession, d: str) -> DataFrame:
+def check_ploidy(spark: SparkSession, d: str) -> DataFrame:
     return W.ploidy_runs(genotypes(spark, d).join(sites(spark, d).select("site_id", "chrom", "pos"), "site_id"))
 
 
@@ -286,29 +279,30 @@ def join_multiallelic(spark: SparkSession, d: str) -> DataFrame:
     return join_multiallelic(split_multiallelic(s).where("alt_index > 0")).select("site_id", F.array_join("alts", ",").alias("alt"), "n_rows")
 
 
-@query(""", v AS (SELECT chrom, pos, ref, alts[1] AS alt FROM site WHERE kind = 'snp' AND pos <= 2000), d AS (SELECT chrom, pos, first(alt ORDER BY alt) AS alt FROM v GROUP BY chrom, pos),
-b AS (SELECT c.chrom, p.pos, coalesce(d.alt, substr('ACGT', 1 + p.pos % 4, 1)) AS b FROM (SELECT DISTINCT chrom FROM site) c CROSS JOIN (SELECT unnest(range(1, 2001)) AS pos) p LEFT JOIN d ON d.chrom = c.chrom AND d.pos = p.pos)
-SELECT chrom, string_agg(b, '' ORDER BY pos) AS seq FROM b GROUP BY chrom""")
-def consensus(spark: SparkSession, d: str) -> DataFrame:
-    s = sites(spark, d).where("pos <= 2000").where(V.class_label(V.variant_class(F.col("ref"), F.col("alts"))) == "snp")
-    v = s.groupBy("chrom", "pos").agg(F.min(F.get("alts", F.lit(0))).alias("alt"))
-    base = F.expr("substring('ACGT', cast(1 + pos % 4 as int), 1)")
-    return C.consensus_of(C.synthetic_reference(sites(spark, d).select("chrom").distinct(), 2000, base), v.withColumn("ref", base))
-
-
 @query(""", v AS (SELECT chrom, pos, alts[1] AS alt FROM site WHERE kind = 'snp'), d AS (SELECT chrom, pos, min(alt) AS alt FROM v GROUP BY chrom, pos),
 b AS (SELECT c.chrom, p.pos, coalesce(d.alt, substr('ACGT', 1 + p.pos % 4, 1)) AS b FROM (SELECT DISTINCT chrom FROM site) c CROSS JOIN (SELECT unnest(range(1, 100001)) AS pos) p LEFT JOIN d ON d.chrom = c.chrom AND d.pos = p.pos)
 SELECT chrom, string_agg(b, '' ORDER BY pos) AS seq FROM b GROUP BY chrom""")
-def consensus_whole(spark: SparkSession, d: str) -> DataFrame:
+def consensus(spark: SparkSession, d: str) -> DataFrame:
     every = sites(spark, d)
     v = every.where(V.class_label(V.variant_class(F.col("ref"), F.col("alts"))) == "snp").groupBy("chrom", "pos").agg(F.min(F.get("alts", F.lit(0))).alias("alt"))
     base = F.expr("substring('ACGT', cast(1 + pos % 4 as int), 1)")
     return C.consensus_of(C.synthetic_reference(every.select("chrom").distinct(), CONTIG, base), v.withColumn("ref", base))
 
 
-@query()
+#: The 27 genotype combinations of a trio: copies, prior with mutations, and whether Mendel's rules forbid them.
+_DNM = """, one(f, x, p, m) AS (VALUES (0, 0, 1 - 1e-8, 1.0), (0, 1, 1e-8, 0.0), (1, 0, 0.5, 0.5), (1, 1, 0.5, 0.5), (2, 0, 1e-8, 0.0), (2, 1, 1 - 1e-8, 1.0)),
+pr(f, p) AS (VALUES (0, (1 - 1e-3) * (1 - 1e-3)), (1, 2 * 1e-3 * (1 - 1e-3)), (2, 1e-3 * 1e-3)),
+tr AS (SELECT a.f, b.f AS m, a.x + b.x AS c, CAST(sum(a.p * b.p) AS DOUBLE) AS p, sum(a.m * b.m) = 0 AS nw FROM one a CROSS JOIN one b GROUP BY a.f, b.f, a.x + b.x),
+ll AS (SELECT site_id, sample_id, [ad0 * ln(0.99::DOUBLE) + ad1 * ln(0.01::DOUBLE), (ad0 + ad1) * ln(0.5::DOUBLE), ad0 * ln(0.01::DOUBLE) + ad1 * ln(0.99::DOUBLE)] AS l FROM gt),
+pl AS (SELECT site_id, sample_id, list_transform(l, lambda x: round(-4.34294481903::DOUBLE * (x - list_max(l)))) AS l FROM ll),
+ev AS (SELECT c.site_id, i AS trio, tr.nw, tr.p * q.p * r.p * pow(10::DOUBLE, -(c.l[tr.c + 1] + f.l[tr.f + 1] + m.l[tr.m + 1]) / 10) AS p FROM (VALUES (0, 1, 2, 3), (1, 4, 5, 6)) v(i, a, b, e)
+  JOIN pl c ON c.sample_id = a JOIN pl f ON f.sample_id = b AND f.site_id = c.site_id JOIN pl m ON m.sample_id = e AND m.site_id = c.site_id CROSS JOIN tr JOIN pr q ON q.f = tr.f JOIN pr r ON r.f = tr.m)
+SELECT site_id, CAST(trio AS INT) AS trio, round(sum(p) FILTER (nw) / sum(p), 9) AS p FROM ev GROUP BY site_id, trio"""
+
+
+@query(_DNM)
 def trio_dnm(spark: SparkSession, d: str) -> DataFrame:
-    return M.de_novo_posterior(J.trio_rows(M.with_likelihoods(genotypes(spark, d)), TRIOS[:1]), M.with_likelihoods(genotypes(spark, d)), TRIOS[0])
+    return M.de_novo_posterior(M.with_likelihoods(genotypes(spark, d)), TRIOS).withColumn("p", F.round("p", 9))
 
 
 @query(""", f AS (SELECT site_id, CAST(count(*) FILTER (a > 0) AS DOUBLE) / count(a) AS q FROM al WHERE a IS NOT NULL GROUP BY site_id),
@@ -319,11 +313,11 @@ def guess_ploidy_gt(spark: SparkSession, d: str) -> DataFrame:
     return M.guess_ploidy(genotypes(spark, d)).withColumn("haploid", F.round("haploid", 6)).withColumn("diploid", F.round("diploid", 6))
 
 
-@query(_TRIO + """, o AS (SELECT t.site_id, f0 = 1 AS father, g.ad0 AS r, g.ad1 AS v FROM t JOIN gt g ON g.site_id = t.site_id AND g.sample_id = 1 WHERE trio = 0 AND ((f0 = 1 AND f1 = 1 AND m0 = 0 AND m1 = 0) OR (f0 = 0 AND f1 = 0 AND m0 = 1 AND m1 = 1)))
-SELECT CAST(0 AS INT) AS trio, count(*) AS n, round(sum(CASE WHEN father THEN v * ln(2 / 3.0::DOUBLE) + r * ln(1 - 2 / 3.0::DOUBLE) ELSE v * ln(1 / 3.0::DOUBLE) + r * ln(1 - 1 / 3.0::DOUBLE) END), 6) AS paternal,
-  round(sum(CASE WHEN father THEN v * ln(1 / 3.0::DOUBLE) + r * ln(1 - 1 / 3.0::DOUBLE) ELSE v * ln(2 / 3.0::DOUBLE) + r * ln(1 - 2 / 3.0::DOUBLE) END), 6) AS maternal FROM o""")
+@query(_TRIO + """, o AS (SELECT t.trio, t.site_id, f0 = 1 AS father, g.ad0 AS r, g.ad1 AS v FROM t JOIN gt g ON g.site_id = t.site_id AND g.sample_id = 1 + 3 * trio WHERE (f0 = 1 AND f1 = 1 AND m0 = 0 AND m1 = 0) OR (f0 = 0 AND f1 = 0 AND m0 = 1 AND m1 = 1))
+SELECT CAST(trio AS INT) AS trio, count(*) AS n, round(sum(CASE WHEN father THEN v * ln(2 / 3.0::DOUBLE) + r * ln(1 - 2 / 3.0::DOUBLE) ELSE v * ln(1 / 3.0::DOUBLE) + r * ln(1 - 1 / 3.0::DOUBLE) END), 6) AS paternal,
+  round(sum(CASE WHEN father THEN v * ln(1 / 3.0::DOUBLE) + r * ln(1 - 1 / 3.0::DOUBLE) ELSE v * ln(2 / 3.0::DOUBLE) + r * ln(1 - 2 / 3.0::DOUBLE) END), 6) AS maternal FROM o GROUP BY trio""")
 def parental_origin(spark: SparkSession, d: str) -> DataFrame:
-    out = M.parental_origin(J.trio_rows(genotypes(spark, d), TRIOS[:1]), genotypes(spark, d), TRIOS[0][0])
+    out = M.parental_origin(genotypes(spark, d), TRIOS)
     return out.withColumn("paternal", F.round("paternal", 6)).withColumn("maternal", F.round("maternal", 6))
 
 

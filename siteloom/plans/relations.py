@@ -80,10 +80,10 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals (name, chrom, start, end) from parts: one for each hundred parts."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 20 = 0")
+    """Intervals (name, chrom, start, end) from parts: one for each part, of its size."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     start = 1 + (F.col("p_partkey") * 61) % 100000
-    return p.select(F.col("p_partkey").alias("name"), F.concat(F.lit("chr"), (1 + F.expr("p_partkey div 20") % 5).cast("string")).alias("chrom"), start.alias("start"), (start + F.col("p_size") * 4).alias("end"))
+    return p.select(F.col("p_partkey").alias("name"), F.concat(F.lit("chr"), (1 + F.expr("p_partkey div 20") % 5).cast("string")).alias("chrom"), start.alias("start"), (start + F.col("p_size")).alias("end"))
 
 
 def second_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +114,6 @@ gt AS (SELECT l_orderkey AS site_id, CAST(l_linenumber AS INT) AS sample_id, 'S'
   CASE WHEN l_linenumber = 7 THEN 1 ELSE 2 END AS ploidy, s % 3 = 0 AS phased, dp,
   dp - CAST(dp * (s % 4) // 4 AS INT) AS ad0, CAST(dp * (s % 4) // 4 AS INT) AS ad1, CAST((p * 7 + s) % 100 AS INT) AS gq FROM g0),
 al AS (SELECT site_id, sample_id, a0 AS a FROM gt UNION ALL SELECT site_id, sample_id, a1 FROM gt WHERE ploidy = 2),
-region AS (SELECT p_partkey AS name, 'chr' || (1 + p_partkey // 20 % 5) AS chrom, 1 + (p_partkey * 61) % 100000 AS start, 1 + (p_partkey * 61) % 100000 + p_size * 4 AS "end" FROM part WHERE p_partkey % 20 = 0),
+region AS (SELECT p_partkey AS name, 'chr' || (1 + p_partkey // 20 % 5) AS chrom, 1 + (p_partkey * 61) % 100000 AS start, 1 + (p_partkey * 61) % 100000 + p_size AS "end" FROM part),
 site2 AS (SELECT * REPLACE (CASE WHEN site_id % 8 = 1 THEN [ref || 'GG'] ELSE alts END AS alts, dp + 7 AS dp) FROM site WHERE site_id % 3 <> 0)
 """

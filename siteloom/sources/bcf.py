@@ -217,23 +217,122 @@ def encode(header: Header, lines: list[str]) -> bytes:
     return MAGIC + struct.pack("<I", len(text)) + text + body
 
 
-def read_bcf(spark, path: str):  # noqa: ANN001, ANN201
-    """Header and sites of BCF files; each file is decoded by one task (a file is a shard)."""
+def _record_at(data: bytes, at: int, contigs: int, samples: int) -> int | None:
+    """Where the record after the one at ``at`` begins; None if none can be there. Only looked at as far as ``data`` goes."""
+    if at + 32 > len(data):
+        return at
+    shared, own, chrom, pos, length, _, n_info, n_allele, packed = struct.unpack_from("<IIiiiIHHI", data, at)
+    if not 24 <= shared < 1 << 28 or own >= 1 << 30 or not 0 <= chrom < contigs or pos < -1 or length < 0 or n_allele > shared or n_info > shared:
+        return None
+    if packed & 0xFFFFFF not in (0, samples) or (packed >> 24 == 0 and own > 0):
+        return None
+    return at + 8 + shared + own
+
+
+def first_record(data: bytes, contigs: int, samples: int, chain: int = 8) -> int | None:
+    """The first offset in ``data`` from which ``chain`` records, or all that there are, follow each other."""
+    for at in range(len(data)):
+        here, n = at, 0
+        while n < chain and here < len(data):
+            after = _record_at(data, here, contigs, samples)
+            if after is None or after == here:
+                break
+            here, n = after, n + 1
+        if n == chain or (n and here == len(data)) or (n and here > len(data)):
+            return at
+    return None
+
+
+def range_records(f, start: int, end: int, size: int, contigs: int, samples: int, skip: int = 0) -> Iterator[bytes]:  # noqa: ANN001
+    """Whole records that begin in the blocks from ``start`` to before ``end``; ``skip`` bytes of the file's text come before its first one."""
+    from siteloom.sources import bgzf
+
+    at = bgzf.find_block(f, start, size) if start else 0
+    if at is None or at >= end:
+        return
+    held, own, found = b"", 0, start == 0
+    for offset, text in bgzf.texts_from(f, at, size):
+        if offset < end:
+            own += len(text)
+        held += text
+        if not found:
+            if len(held) < 1 << 18 and offset < end:
+                continue  # enough to judge by
+            at = first_record(held, contigs, samples)
+            if at is None:
+                continue
+            skip, found = at, True
+        if skip:
+            cut = min(skip, len(held))
+            held, own, skip = held[cut:], own - cut, skip - cut
+        i = 0
+        while i < min(own, len(held) - 7):
+            n = 8 + sum(struct.unpack_from("<II", held, i))
+            if i + n > len(held):
+                break
+            yield held[i : i + n]
+            i += n
+        held, own = held[i:], own - i
+        if offset >= end and own <= 0:
+            return
+    if not found and (at := first_record(held, contigs, samples)) is not None:
+        held, own, i = held[at:], own - at, 0
+        while i < min(own, len(held) - 7):
+            n = 8 + sum(struct.unpack_from("<II", held, i))
+            yield held[i : i + n]
+            i += n
+
+
+def read_bcf(spark, path: str, step: int | None = None):  # noqa: ANN001, ANN201
+    """Header and sites of block-compressed BCF files, in parallel by ranges of compressed bytes.
+
+    A range's first record is where a chain of plausible ones begins. The first file in name order holds the header; others hold records only, or headers of their own.
+    """
     import pandas as pd
-    from pyspark.sql import functions as F
 
     from siteloom.sources import bgzf
     from siteloom.sources.vcf import parse_lines
 
-    def plain(data: bytes) -> bytes:
-        return b"".join(bgzf.decompress_block(data[a : a + n]) for a, n in bgzf.blocks(data)) if data[:2] == b"\x1f\x8b" else data
+    ranges = bgzf.file_ranges(spark, path, step or bgzf.RANGE)
+
+    def head(name: str, size: int) -> bytes:
+        out = b""
+        with bgzf.open_file(name) as f:
+            for _, text in bgzf.texts_from(f, 0, size):
+                out += text
+                if out[:5] != MAGIC or len(out) >= 9 + struct.unpack_from("<I", out, 5)[0]:
+                    break
+        return out[: 9 + struct.unpack_from("<I", out, 5)[0]] if out[:5] == MAGIC else b""
+
+    first = ranges.orderBy("file", "nth").first()
+    top = head(first["path"], first["size"])
+    if not top:
+        raise BcfError(f"{first['path']} has no BCF header")
+    header, _ = decode(top)
+    contigs, samples = len(header.contigs), len(header.samples)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for data in p["content"]:
-                yield pd.DataFrame({"value": list(decode(plain(data))[1])})
+            for r in p.itertuples(index=False):
+                n, lot, held = (r.file << 50) + (r.nth << 27), [], 0
+                with bgzf.open_file(r.path) as f:
+                    skip = len(head(r.path, r.size)) if r.start == 0 else 0
+                    for record in range_records(f, r.start, r.end, r.size, contigs, samples, skip):
+                        lot.append(record)
+                        held += len(record)
+                        if held > 1 << 22:
+                            yield pd.DataFrame({"value": list(decode(top + b"".join(lot))[1]), "ord": range(n, n + len(lot))})
+                            n, lot, held = n + len(lot), [], 0
+                if lot:
+                    yield pd.DataFrame({"value": list(decode(top + b"".join(lot))[1]), "ord": range(n, n + len(lot))})
+
+    return header, parse_lines(ranges.mapInPandas(run, "value string, ord long"), header)
+
+
+def write_bcf(sites, header: Header, path: str, level: int = 6) -> None:  # noqa: ANN001
+    """Block-compressed BCF part files under ``path`` in position order; the header is a first one of its own."""
+    from siteloom.sources import bgzf
+    from siteloom.sources.vcf import ordered_lines
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    header, _ = decode(plain(bytes(files.first()["content"])))
-    lines = files.mapInPandas(run, "value string").withColumn("ord", F.monotonically_increasing_id())
-    return header, parse_lines(lines, header)
+    names = _dictionary(header)
+    bgzf.write_parts(ordered_lines(sites, header), lambda lines: b"".join(encode_record(x, header, names) for x in lines), path, encode(header, []), ".bcf", level)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +82,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, source, type, start, end, strand, phase, id, parent, name, attributes) of GFF3."""
-    decode = F.udf(lambda x: None if x is None else unquote(x), "string")
+    decode = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
     f = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(f) == 9)).select(F.explode(F.array(f)).alias("f"))
     tags = F.str_to_map(F.col("f")[8], F.lit(";"), F.lit("="))

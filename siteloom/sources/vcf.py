@@ -104,11 +104,15 @@ def render_lines(sites: DataFrame, header: Header) -> DataFrame:
     return sites.select("contig_rank", "pos", "ref", "alts", "site_id", F.concat_ws("\t", *parts).alias("line"))
 
 
+def ordered_lines(sites: DataFrame, header: Header) -> DataFrame:
+    """``line`` of each site, in partitions by ranges of position."""
+    lines = render_lines(sites, header).repartitionByRange("contig_rank", "pos")
+    return lines.sortWithinPartitions("contig_rank", "pos", F.lower("ref"), F.lower(F.array_join("alts", ",")), "site_id").select("line")
+
+
 def write_vcf(sites: DataFrame, header: Header, path: str, ordered: bool = True, compression: str | None = None) -> None:
     """Part files in position order under ``path``, the header in a first one of its own; together in name order they are one VCF file."""
-    lines = render_lines(sites, header)
-    if ordered:
-        lines = lines.repartitionByRange("contig_rank", "pos").sortWithinPartitions("contig_rank", "pos", F.lower("ref"), F.lower(F.array_join("alts", ",")), "site_id")
+    lines = ordered_lines(sites, header) if ordered else render_lines(sites, header)
     options = {"compression": compression} if compression else {}
     lines.select("line").write.options(**options).text(path)
     jvm, conf = sites.sparkSession.sparkContext._jvm, sites.sparkSession.sparkContext._jsc.hadoopConfiguration()

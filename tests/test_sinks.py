@@ -40,6 +40,21 @@ def test_bcf_round_trip(spark, tmp_path):
         bcf.decode(b"plain text")
 
 
+def test_bcf_in_ranges(spark, tmp_path):
+    header = parse_header(HEAD)
+    many = []
+    for i in range(4000):
+        f = LINES[i % len(LINES)].split("\t")
+        f[1] = str(1 + i)
+        f[7] = ";".join(x for x in f[7].split(";") if not x.startswith("END=")) or "."
+        many.append("\t".join(f))
+    (tmp_path / "a.bcf").write_bytes(bgzf.compress(bcf.encode(header, many)))
+    size = (tmp_path / "a.bcf").stat().st_size
+    for step in (1 << 25, size // 2, size // 5):
+        h, d = bcf.read_bcf(spark, str(tmp_path / "a.bcf"), step)
+        assert h == header and sorted(r["pos"] for r in d.select("pos").collect()) == list(range(1, 4001))
+
+
 def test_store(spark, tmp_path):
     s = sites(spark, SF)
     store.write_store(s, str(tmp_path / "s"))

@@ -64,10 +64,29 @@ def test_bgzf(spark, tmp_path):
     assert vcf.parse_lines(lines, header).count() == 8904
     _, sites = vcf.read_vcf(spark, str(tmp_path / "a.vcf.gz"))  # as plain gzip
     assert sites.count() == 8904
-    out = str(tmp_path / "blocks")
-    bgzf.write_lines(lines.orderBy("ord").coalesce(1).withColumnRenamed("value", "line"), out)
-    joined = b"".join(r["data"] for r in spark.read.parquet(out).collect()) + bgzf.END
-    assert b"".join(bgzf.decompress_block(joined[a : a + n]) for a, n in bgzf.blocks(joined)) == data
+    for step in (700, 3000, 20_000):  # ranges of less than a block and of several
+        part = bgzf.read_lines(spark, str(tmp_path / "a.vcf.gz"), step)
+        assert [r["value"] for r in part.orderBy("ord").collect()] == data.decode().splitlines()
+    long = b"\n".join([b"x" * 200_000, b"y", b"", b"z" * 70_000])  # lines over several blocks, and no line end at the end
+    (tmp_path / "b.gz").write_bytes(bgzf.compress(long, level=0))
+    assert [r["value"] for r in bgzf.read_lines(spark, str(tmp_path / "b.gz"), 40_000).orderBy("ord").collect()] == [x.decode() for x in long.split(b"\n") if x]
+
+
+def test_bgzf_parts(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text(TEXT + "".join(f"1\t{i}\t.\tA\tC\t.\t.\tDP={i}\tGT\t0/1\t0/0\n" for i in range(100, 9000)))
+    header, sites = vcf.read_vcf(spark, str(tmp_path / "a.vcf"))
+    out = str(tmp_path / "parts")
+    bgzf.write_vcf_gz(sites, header, out)
+    again, back = bgzf.read_vcf_gz(spark, out, 5000)
+    assert again == header and back.count() == sites.count() == 8904
+    bgzf.join_parts(out, str(tmp_path / "one.vcf.gz"))
+    joined = (tmp_path / "one.vcf.gz").read_bytes()
+    assert joined.endswith(bgzf.END)
+    text = b"".join(bgzf.decompress_block(joined[a : a + n]) for a, n in bgzf.blocks(joined)).decode().splitlines()
+    assert text[: len(header.lines())] == header.lines() and len(text) == len(header.lines()) + 8904
+    assert [int(x.split("\t")[1]) for x in text if x.startswith("1\t")] == sorted(int(x.split("\t")[1]) for x in text if x.startswith("1\t"))
+    with pytest.raises(bgzf.BgzfError):
+        list(bgzf.texts_from(bgzf.open_file(str(tmp_path / "a.vcf")), 0, 100))
     with pytest.raises(bgzf.BgzfError):
         list(bgzf.blocks(b"plain"))
 

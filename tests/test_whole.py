@@ -16,7 +16,7 @@ def test_check_ploidy_reads_all_samples(spark):
             last = r["sample"], r["chrom"], r["p"]
             want.append([*last, r["pos"], r["pos"], 0])
         want[-1][4:] = r["pos"], want[-1][5] + 1
-    got = entry.queries()["check_ploidy_whole"](spark, SF).select("sample", "chrom", "ploidy", "start", "end", "n").collect()
+    got = entry.queries()["check_ploidy"](spark, SF).select("sample", "chrom", "ploidy", "start", "end", "n").collect()
     assert sorted(map(list, got)) == sorted(want)
     assert {(w[0], w[2]) for w in want} == {(f"S{i}", 1 if i == 7 else 2) for i in range(1, 8)}
 
@@ -34,7 +34,7 @@ def test_consensus_applies_all_snps(spark):
     for (chrom, pos), alt in snps.items():
         want[chrom][pos - 1] = alt
     assert any(pos > 1 << 16 for _, pos in snps)
-    got = {r["chrom"]: r["seq"] for r in entry.queries()["consensus_whole"](spark, SF).collect()}
+    got = {r["chrom"]: r["seq"] for r in entry.queries()["consensus"](spark, SF).collect()}
     assert got == {c: "".join(s) for c, s in want.items()}
 
 
