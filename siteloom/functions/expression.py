@@ -262,7 +262,27 @@ class Compiler:
             return self._call(Node("call", "F_MISSING"))
         return self.scope.named(n.value)
 
+    def _chosen(self, spec: str, samples: Column | None = None) -> Callable[[Column, Column], Column]:
+        """The test of an element and its index that a subscript asks for: ``*``, ``3``, ``1-4``, ``2-``, ``0,3`` and, of samples, ``@file`` of names."""
+        if spec.startswith("@"):
+            names = self.files(spec[1:])
+            return lambda x, i: x["sample"].isin(*names) if names else F.lit(False)
+        tests = []
+        for part in spec.split(","):
+            lo, dash, hi = part.partition("-")
+            if part == "*":
+                tests.append(lambda i: F.lit(True))
+            elif lo.isdigit() and (not hi or hi.isdigit()):
+                tests.append(lambda i, lo=int(lo), hi=int(hi) if hi else None if dash else int(lo): (i >= lo) & (F.lit(True) if hi is None else i <= hi))
+            else:
+                raise ExpressionError(f"bad subscript [{spec}]")
+        return lambda x, i: reduce(lambda a, b: a | b, [t(i) for t in tests])
+
     def _index(self, n: Node) -> Value:
+        if n.value[0].startswith("@") and len(n.value) == 1:
+            n = Node("index", (n.value[0], "*"), n.args)
+        if any(not (x == "*" or x.isdigit()) for x in n.value):
+            return self._several(n)
         v = self.value(n.args[0])
         if len(n.value) == 1:
             if n.value[0] == "*" or not v.many:
@@ -278,6 +298,23 @@ class Compiler:
         each = F.transform(chosen, lambda s: s["fmt"][name])
         return Value(F.flatten(each) if at == "*" else F.transform(each, lambda x: F.get(x, F.lit(int(at)))), "str", True)
 
+    def _several(self, n: Node) -> Value:
+        """Subscripts of several elements, or of samples by name."""
+        if len(n.value) == 1:
+            v = self.value(n.args[0])
+            if not v.many:
+                raise ExpressionError(f"[{n.value[0]}] needs a list")
+            picked = self._chosen(n.value[0])
+            return Value(F.filter(v.column, lambda x, i: picked(x, i)), v.kind, True, v.gt)
+        if self.scope.samples is None:
+            raise ExpressionError("a sample subscript needs samples")
+        whom, which = self._chosen(n.value[0]), self._chosen(n.value[1])
+        name = n.args[0].value.rpartition("/")[2]
+        chosen = F.filter(self.scope.samples, lambda s, i: whom(s, i))
+        if name.upper() == "GT":
+            return Value(F.transform(chosen, lambda s: s["alleles"]), "num", True, gt=True)
+        return Value(F.flatten(F.transform(chosen, lambda s: F.filter(s["fmt"][name], lambda x, i: which(x, i)))), "str", True)
+
     def _unary(self, n: Node) -> Value:
         v = self.value(n.args[0])
         return Value(~truth(v), "bool") if n.value == "!" else Value(-_number(v.column, v.kind), "num")

@@ -87,11 +87,18 @@ def _tag(name: str, at: str | None, df: DataFrame, sample: Column | None, record
 
 def _skewed_reads(sample: Column, values: Column) -> Column:
     """Phred-scaled P that a diploid call's two alleles have equal shares of ``values``: 0 for equal counts, 99 at most, missing without reads or a call."""
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  a value that is used more than once is computed once
     number = lambda i: F.get(values, F.get(sample["alleles"], F.lit(i))).try_cast("int")
-    a, b = number(0), number(1)
-    p = prob.binom_two_sided(a, b)
-    score = F.when(p >= 1, 0.0).when(p <= 0, 99.0).otherwise(-prob.PHRED * F.ln(p))
-    return F.when((F.size(sample["alleles"]) == 2) & a.isNotNull() & b.isNotNull() & (a + b > 0), significant(score))
+
+    def score(p: Column) -> Column:
+        return F.when(p >= 1, 0.0).when(p <= 0, 99.0).otherwise(-prob.PHRED * F.ln(p))
+
+    def of(reads: Column) -> Column:
+        a, b = reads["a"], reads["b"]
+        text = let(let(prob.binom_two_sided(a, b), score), lambda x: significant(x))
+        return F.when(a.isNotNull() & b.isNotNull() & (a + b > 0), text)
+
+    return F.when(F.size(sample["alleles"]) == 2, let(F.struct(number(0).alias("a"), number(1).alias("b")), of))
 
 
 def significant(x: Column, digits: int = 6) -> Column:

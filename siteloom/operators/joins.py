@@ -243,9 +243,18 @@ def concat(inputs: list[DataFrame], drop: str | None = None) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def sort_sites(sites: DataFrame) -> DataFrame:
-    """Contig order, position, REF and ALT without case, input order."""
-    return sites.orderBy("contig_rank", "pos", F.lower("ref"), F.lower(F.array_join("alts", ",")), "site_id")
+def overlapping_inputs(inputs: list[DataFrame]) -> DataFrame:
+    """(chrom, first, second): neighbouring inputs in the order given whose positions on a contig overlap, so that one after another they aren't sorted."""
+    rows = reduce(DataFrame.union, [d.select("chrom", "pos", F.lit(i).alias("input")) for i, d in enumerate(inputs)])
+    spans = rows.groupBy("chrom", "input").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))  # a row for each contig and input
+    w = Window.partitionBy("chrom").orderBy("input")
+    met = spans.withColumn("second", F.lead("input").over(w)).withColumn("next", F.lead("lo").over(w))
+    return met.where("next <= hi").select("chrom", F.col("input").alias("first"), "second")
+
+
+def sort_sites(sites: DataFrame, names: bool = False) -> DataFrame:
+    """Contig order (or by name, with ``names``), position, REF and ALT without case, input order."""
+    return sites.orderBy("chrom" if names else "contig_rank", "pos", F.lower("ref"), F.lower(F.array_join("alts", ",")), "site_id")
 
 
 def top_local_alleles(probabilities: DataFrame, k: int) -> DataFrame:

@@ -104,6 +104,13 @@ def expr_subscripts(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d).where(compile_filter('FMT/AD[0:1]>3 & (N_ALT>1 | ALT[0]="T") & GT[1:*]="het"', vcf_scope())).select("site_id")
 
 
+@query(""", l AS (SELECT site_id, list(dp ORDER BY sample_id) AS d, list(gq ORDER BY sample_id) AS q, list(sample ORDER BY sample_id) AS n FROM gt GROUP BY site_id)
+SELECT site_id FROM l WHERE list_max(d[2:4]) > 40 AND (q[1] < 50 OR coalesce(q[4], 100) < 50) AND len(list_filter(list_zip(d, n), lambda x: x[2] IN ('S2', 'S5') AND x[1] < 30)) > 0""")
+def expr_sample_sets(spark: SparkSession, d: str) -> DataFrame:
+    named = {"some.txt": ["S2", "S5"]}
+    return frame(spark, d).where(compile_filter("MAX(FMT/DP[1-3:0])>40 & FMT/GQ[0,3:0]<50 & FMT/DP[@some.txt]<30", vcf_scope(), files=named.__getitem__)).select("site_id")
+
+
 @query("""SELECT s.site_id FROM site s JOIN (SELECT site_id, count(a) AS an, count(a) FILTER (a > 0) AS ac, bool_or(a = 0) AS r FROM al GROUP BY site_id) n ON n.site_id = s.site_id
 WHERE s.kind IN ('snp', 'ins') AND n.ac >= 2 AND list_has_any(s.filters, ['PASS', 'q10']) AND s.id IS NOT NULL AND len(s.alts) + 1 BETWEEN 2 AND 2 AND coalesce(s.qual > 50, false)
   AND EXISTS (SELECT 1 FROM region r WHERE r.chrom = s.chrom AND s.pos BETWEEN r.start AND r."end")""")
@@ -381,6 +388,34 @@ def merge_gvcf(spark: SparkSession, d: str) -> DataFrame:
     return cut[0].withColumn("input", F.lit(0)).unionByName(cut[1].withColumn("input", F.lit(1))).select("input", "site_id", "chrom", "pos")
 
 
+@query(", i AS (SELECT chrom, pos, CASE WHEN pos <= 40000 THEN 0 WHEN pos <= 70000 THEN 1 ELSE 2 END AS input FROM site UNION ALL SELECT chrom, pos, 1 FROM site WHERE pos BETWEEN 39000 AND 39500), s AS (SELECT chrom, input, min(pos) AS lo, max(pos) AS hi FROM i GROUP BY ALL) SELECT a.chrom, CAST(a.input AS INT) AS first, CAST(b.input AS INT) AS second FROM s a JOIN s b ON a.chrom = b.chrom AND b.input = a.input + 1 AND b.lo <= a.hi")
+def concat_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    s = sites(spark, d)
+    return J.overlapping_inputs([s.where("pos <= 40000"), s.where("(pos > 40000 and pos <= 70000) or pos between 39000 and 39500"), s.where("pos > 70000")])
+
+
+@query("SELECT site_id, row_number() OVER (ORDER BY chrom, pos, lower(ref), lower(array_to_string(alts, ',')), site_id) AS nth FROM site")
+def sort_by_name(spark: SparkSession, d: str) -> DataFrame:
+    rows = J.sort_sites(sites(spark, d), names=True).select("site_id", "chrom", "pos")
+    # numbered by ranges, as positions are by chunks
+    from pyspark.sql import Window
+
+    ranked = rows.groupBy("chrom").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy("chrom").orderBy("pos", "site_id")
+    return rows.withColumn("k", F.row_number().over(inside)).join(ranked, "chrom").select("site_id", (F.col("k") + F.col("before")).alias("nth"))
+
+
+@query("SELECT chrom, pos, CASE WHEN 2 = 2 THEN ref || '>' || array_to_string(alts, ',') END AS what, '11' AS inputs FROM site s WHERE EXISTS (SELECT 1 FROM site2 t WHERE t.chrom = s.chrom AND t.pos = s.pos AND t.ref = s.ref AND t.alts = s.alts)")
+def isec_files(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "isec")
+    inputs = [bare(sites(spark, d)), bare(second_input(spark, d))]
+    h = header_of(spark, d).with_samples()
+    sinks.write_intersection_files(inputs, [h, h], path, 2)
+    back = bgzf.read_vcf_gz(spark, f"{path}/0001")[1].select("chrom", "pos")
+    seen = spark.read.option("sep", "\t").csv(f"{path}/sites").toDF("chrom", "pos", "what", "inputs").withColumn("pos", F.col("pos").cast("long"))
+    return seen.join(back.distinct(), ["chrom", "pos"], "left_semi").select("chrom", "pos", "what", "inputs")
+
+
 # computed tags and consequences
 
 

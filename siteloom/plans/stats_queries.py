@@ -265,7 +265,12 @@ def indel_length_histogram(spark: SparkSession, d: str) -> DataFrame:
     return S.length_histogram(sites(spark, d))
 
 
-@query()
+@query(""", i AS (SELECT site_id, kind, ref, alts[1] AS alt, ref || repeat('TT', CAST(site_id % 6 AS INT)) || 'ACAC' AS base FROM site WHERE kind IN ('ins', 'del')),
+u AS (SELECT *, unnest(range(1, 11)) AS u FROM i), k AS (SELECT *, unnest(range(1, 40)) AS k FROM u),
+f AS (SELECT site_id, kind, ref, alt, base, u, max(k) AS n FROM k WHERE length(substr(base, 2, CAST(u AS INT))) > 0 AND substr(base, 2, CAST(k * u AS INT)) = repeat(substr(base, 2, CAST(u AS INT)), CAST(k AS INT)) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n * u DESC, u) AS nth FROM f WHERE n > 1),
+c AS (SELECT *, CASE WHEN kind = 'ins' THEN substr(alt, 2) ELSE substr(ref, 2) END AS changed FROM b WHERE nth = 1)
+SELECT CAST(least(10, n) AS INT) AS times, kind = 'ins' AS ins, length(changed) % u = 0 AND changed = repeat(substr(base, 2, CAST(u AS INT)), CAST(length(changed) // u AS INT)) AS ok, count(*) AS n FROM c GROUP BY ALL""".replace("k AS (SELECT *, unnest(range(1, 40))", "kk AS (SELECT *, unnest(range(1, 40))").replace("FROM k WHERE length", "FROM kk WHERE length"))
 def indel_contexts(spark: SparkSession, d: str) -> DataFrame:
     s = sites(spark, d).withColumn("base", F.concat("ref", F.repeat(F.lit("TT"), (F.col("site_id") % 6).cast("int")), F.lit("ACAC")))
     return S.indel_contexts(s)

@@ -55,6 +55,11 @@ class Header:
         made["contig"] = {c: {**now.get(c, {}), "length": str(lengths[c])} for c in kept}
         return replace(self, fields=made)
 
+    def with_provenance(self, program: str, version: str, command: str) -> Header:
+        """Lines that say what wrote the file; those of the same program are replaced."""
+        keep = tuple(x for x in self.other if not re.match(rf"##{re.escape(program)}(Version|Command)=", x))
+        return replace(self, other=(*keep, f"##{program}Version={version}", f"##{program}Command={command}"))
+
     def lines(self) -> list[str]:
         out = [f"##fileformat=VCFv{self.version}"]
         for kind, tags in self.fields.items():

@@ -8,6 +8,31 @@ from pyspark.sql import functions as F
 from siteloom.functions import genotypes as G
 from siteloom.operators import joins as J
 from siteloom.operators.windows import scatter
+from siteloom.sources.header import Header
+
+
+def output_mode(text: str) -> tuple[str, int]:
+    """An output type and its compression level: ``v`` text, ``z`` block-compressed text, ``b`` BCF, ``u`` BCF without compression, ``t`` tab-separated; ``z``, ``b`` and ``t`` may be followed by a level."""
+    kind, level = text[:1], text[1:]
+    if kind not in "vzbut" or not kind or (level and (kind not in "zbt" or not level.isdigit() or int(level) > 9)):
+        raise ValueError(f"unknown output type {text!r}")
+    return {"v": "vcf", "z": "vcf.gz", "b": "bcf", "u": "bcf", "t": "tsv"}[kind], int(level) if level else 0 if kind in "uvt" else 6
+
+
+def write_sites(sites: DataFrame, header: Header, path: str, mode: str = "v") -> None:
+    """A frame as read from VCF in the form of an output type."""
+    from siteloom.sources import bcf, bgzf
+    from siteloom.sources.vcf import write_vcf
+
+    kind, level = output_mode(mode)
+    if kind == "vcf":
+        write_vcf(sites, header, path)
+    elif kind == "vcf.gz":
+        bgzf.write_vcf_gz(sites, header, path, level)
+    elif kind == "bcf":
+        bcf.write_bcf(sites, header, path, level)
+    else:
+        sites.select("chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"), "qual", F.array_join("filters", ";").alias("filters")).write.option("sep", "\t").csv(path)
 
 
 def split_by_sample(gt: DataFrame, path: str, groups: DataFrame | None = None) -> None:
@@ -30,6 +55,17 @@ def write_intersection(inputs: list[DataFrame], path: str, n: int, mode: str = "
         J.write_input(g, inputs, i).write.parquet(f"{path}/{i:04d}")
 
 
+def write_intersection_files(inputs: list[DataFrame], headers: list[Header], path: str, n: int, mode: str = "none", output: str = "z") -> None:
+    """The same as files: ``000i`` holds input i's records, ``sites`` tab-separated groups with a digit for each input, ``README.txt`` says which is which."""
+    g = J.in_at_least(J.groups(inputs, mode), n)
+    bits = F.concat(*(F.map_contains_key("sites", F.lit(i)).cast("int").cast("string") for i in range(len(inputs))))
+    g.select("chrom", "pos", "what", bits.alias("inputs")).write.option("sep", "\t").csv(f"{path}/sites")
+    for i, (d, h) in enumerate(zip(inputs, headers, strict=True)):
+        write_sites(J.write_input(g, inputs, i) if "info" in d.columns else d, h, f"{path}/{i:04d}", output)
+    lines = ["Records of each input in groups found in enough inputs:", *(f"{i:04d}\tinput {i + 1}" for i in range(len(inputs))), "sites\tgroups, with 1 for each input that has them"]
+    inputs[0].sparkSession.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{path}/README.txt")
+
+
 def hap_rows(gt: DataFrame, sites: DataFrame, legend: bool = False) -> DataFrame:
     """(site_id, line) of haplotypes of biallelic sites; with ``legend`` (site_id, legend, line) with the site apart."""
     one = sites.where(F.size("alts") == 1)

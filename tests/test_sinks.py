@@ -79,3 +79,12 @@ def test_sinks(spark, tmp_path):
     assert {r["key"]: r["value"] for r in t.collect()}["records"] == s.count()
     card = sinks.site_cards(s).first()["card"].split("\n")
     assert len(card) == 8 and len({len(x) for x in card}) == 1
+
+
+def test_output_types_and_provenance():
+    assert sinks.output_mode("v") == ("vcf", 0) and sinks.output_mode("z9") == ("vcf.gz", 9) and sinks.output_mode("b") == ("bcf", 6) and sinks.output_mode("u") == ("bcf", 0)
+    for bad in ("", "x", "z10", "u1", "zz"):
+        with pytest.raises(ValueError):
+            sinks.output_mode(bad)
+    h = parse_header(HEAD).with_provenance("tool", "1", "view a").with_provenance("tool", "2", "view b")
+    assert [x for x in h.lines() if x.startswith("##tool")] == ["##toolVersion=2", "##toolCommand=view b"]

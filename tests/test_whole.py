@@ -44,3 +44,21 @@ def test_header_of_any_length(spark, tmp_path):
     meta = ["##fileformat=VCFv4.2", *(f"##contig=<ID=c{i}>" for i in range(100_001)), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA", "c1\t1\t.\tA\tC\t.\t.\t.\tGT\t0/1"]
     (tmp_path / "a.vcf").write_text("\n".join(meta) + "\n")
     assert list(read_header(spark, str(tmp_path / "a.vcf")).samples) == ["A"]
+
+
+def test_prune_is_the_plain_walk(spark):
+    from siteloom.operators.models import prune
+
+    s = sites(spark, SF)
+    rows = sorted((r["chrom"], r["pos"], r["site_id"], r["qual"] or 0.0) for r in s.select("chrom", "pos", "site_id", "qual").collect())
+    for keep in ("first", "maxqual"):
+        held, gone, last = [], set(), None
+        for chrom, pos, name, q in rows:
+            held = [h for h in held if pos - h[0] < 100] if chrom == last else []
+            last = chrom
+            held.append((pos, q, name))
+            if len(held) > 2:
+                out = held[-1] if keep == "first" else min(held, key=lambda h: (h[1], -h[0]))
+                held.remove(out)
+                gone.add(out[2])
+        assert {r["site_id"] for r in prune(s, 100, 2, keep).select("site_id").collect()} == {r[2] for r in rows} - gone
