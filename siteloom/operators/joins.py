@@ -211,9 +211,18 @@ def ld_r2(gt: DataFrame, sites: DataFrame, window: int) -> DataFrame:
     mine = sites.select(F.col("site_id").alias("a"), "chrom", at.alias("_bin"), F.col("pos").alias("pa"))
     theirs = sites.select(F.col("site_id").alias("b"), "chrom", F.explode(F.array(at, at - 1)).alias("_bin"), F.col("pos").alias("pb"))
     pairs = mine.join(theirs, ["chrom", "_bin"]).where("(pb > pa or (pb = pa and b > a)) and pb - pa <= %d" % window).select("a", "b")
-    n = gt.where(~G.any_missing(F.col("alleles"))).select("site_id", "sample", F.size(F.filter("alleles", lambda x: x > 0)).alias("x"))
-    d = pairs.join(n.toDF("a", "sample", "x"), "a").join(n.toDF("b", "sample", "y"), ["b", "sample"])
-    m = d.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    copies = F.struct("sample", F.size(F.filter("alleles", lambda x: x > 0)).cast("long").alias("x"))
+    per = gt.where(~G.any_missing(F.col("alleles"))).groupBy("site_id").agg(F.map_from_entries(F.collect_list(copies)).alias("m"))
+    d = pairs.join(per.toDF("a", "ma"), "a").join(per.toDF("b", "mb"), "b")  # a row for each pair, with all its samples
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def add(acc: Column, e: Column) -> Column:
+        x, y = e["value"], F.try_element_at("mb", e["key"])
+        more = (F.lit(1).cast("long"), x, y, x * x, y * y, x * y)
+        return F.when(y.isNull(), acc).otherwise(F.struct(*((acc[k] + v).alias(k) for k, v in zip(names, more, strict=True))))
+
+    zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in names))
+    m = d.select("a", "b", F.aggregate(F.map_entries("ma"), zero, add).alias("s")).select("a", "b", "s.*")
     c = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     return m.where((vx > 0) & (vy > 0)).select("a", "b", ((c * c) / (vx * vy)).alias("r2"))
