@@ -321,6 +321,9 @@ def parental_origin(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("paternal", F.round("paternal", 6)).withColumn("maternal", F.round("maternal", 6))
 
 
-@query()
+@query(""", o AS (SELECT chrom, pos, site_id, row_number() OVER (PARTITION BY chrom ORDER BY pos, site_id) AS n FROM site),
+walk(chrom, n, older, last, site_id, kept) AS (SELECT DISTINCT chrom, CAST(0 AS BIGINT), CAST(-1000 AS BIGINT), CAST(-1000 AS BIGINT), CAST(NULL AS BIGINT), false FROM site
+  UNION ALL SELECT o.chrom, o.n, CASE WHEN o.pos - w.older >= 100 THEN w.last ELSE w.older END, CASE WHEN o.pos - w.older >= 100 THEN o.pos ELSE w.last END, o.site_id, o.pos - w.older >= 100 FROM walk w JOIN o ON o.chrom = w.chrom AND o.n = w.n + 1)
+SELECT site_id FROM walk WHERE kept""", recursive=True)
 def prune_sites(spark: SparkSession, d: str) -> DataFrame:
     return M.prune(sites(spark, d), 100, 2).select("site_id")

@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None) -> Callable:
+def query(sql: str | None = None, name: str | None = None, recursive: bool = False) -> Callable:
     """Registers a query; ``sql`` goes on from the oracle's relations in ``BASE`` (more CTEs or a SELECT)."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
@@ -21,7 +21,8 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
         QUERIES[key] = f
         if sql is not None:
             sep = "" if sql.lstrip().startswith(",") else "\n"
-            ORACLES[key] = BASE.rstrip() + sep + sql
+            base = BASE.replace("WITH", "WITH RECURSIVE", 1) if recursive else BASE
+            ORACLES[key] = base.rstrip() + sep + sql
         return f
 
     return add
