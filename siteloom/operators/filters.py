@@ -31,8 +31,7 @@ def in_regions(sites: DataFrame, regions: DataFrame, mode: str = "record", exclu
 def mask_regions(sites: DataFrame, regions: DataFrame, name: str, mode: str = "record", complement: bool = False) -> DataFrame:
     """Adds ``name`` to FILTER of sites that overlap (or don't overlap) a region; PASS goes."""
     start, end = site_span(mode)
-    hit = overlaps(sites.select("site_id", "chrom", start.alias("a"), end.alias("z")), regions.select("chrom", "start", "end"), F.col("a"), F.col("z")).select("site_id").distinct().withColumn("_hit", F.lit(True))
-    out = sites.join(hit, "site_id", "left")
+    out = overlaps(sites, regions, start, end, how="left")
     fail = F.col("_hit").isNull() if complement else F.col("_hit").isNotNull()
     return soft_filter(out, ~fail, name, "+").drop("_hit")
 
