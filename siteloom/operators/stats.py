@@ -89,14 +89,20 @@ def depth(sites: DataFrame, gt: DataFrame, low: int, high: int, step: int) -> Da
 
 
 def frameshifts(sites: DataFrame, exons: DataFrame) -> DataFrame:
-    """Indels with the first exon (least name) that they touch: bases changed within it, and whether out of frame."""
-    d = exploded_alts(sites).where("class = 'indel'").select("site_id", "chrom", "pos", "ref", "alt", "nth")
-    stop = F.col("pos") + F.length("ref") - 1
-    hit = overlaps(d, exons, F.col("pos"), stop)
-    cut = F.when(F.length("alt") > F.length("ref"), F.length("alt") - F.length("ref")).otherwise(F.least(stop, F.col("end")) - F.greatest(F.col("pos") + 1, F.col("start")) + 1)
-    first = hit.withColumn("len", F.greatest(cut, F.lit(0)).cast("int")).groupBy("site_id", "nth").agg(F.min(F.struct("name", "len")).alias("_f"))
-    out = d.join(first, ["site_id", "nth"], "left")
-    return out.select("site_id", "nth", F.col("_f")["name"].alias("exon"), F.when(F.col("_f").isNull(), "na").when(F.col("_f")["len"] % 3 != 0, "out").otherwise("in").alias("frame"))
+    """Indels with the first exon (least name) that they touch: bases changed within it, and whether out of frame.
+
+    Indels of one span count once. An exon that begins where another of a lesser name does, and ends no later, is never the first.
+    """
+    d = exploded_alts(sites).where("class = 'indel'").select("site_id", "chrom", "pos", "ref", "alt", "nth").withColumn("_stop", F.col("pos") + F.length("ref") - 1)
+    further = Window.partitionBy("chrom", "start").orderBy(F.desc("end")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    e = exons.select("chrom", F.coalesce("start", F.lit(1)).cast("long").alias("start"), F.coalesce("end", F.lit(1 << 32)).cast("long").alias("end"), "name")
+    e = e.withColumn("_least", F.min("name").over(further)).where("name = _least").select("chrom", "start", "end", "name").distinct()
+    hit = overlaps(d.select("chrom", "pos", "_stop").distinct(), e, F.col("pos"), F.col("_stop"))
+    inside = F.least("_stop", "end") - F.greatest(F.col("pos") + 1, F.col("start")) + 1
+    first = hit.withColumn("len", F.greatest(inside, F.lit(0)).cast("int")).groupBy("chrom", "pos", "_stop").agg(F.min(F.struct("name", "len")).alias("_f"))
+    out = d.join(first, ["chrom", "pos", "_stop"], "left")
+    changed = F.when(F.length("alt") > F.length("ref"), F.length("alt") - F.length("ref")).otherwise(F.col("_f")["len"])
+    return out.select("site_id", "nth", F.col("_f")["name"].alias("exon"), F.when(F.col("_f").isNull(), "na").when(changed % 3 != 0, "out").otherwise("in").alias("frame"))
 
 
 def singletons(sites: DataFrame, counts: DataFrame) -> DataFrame:

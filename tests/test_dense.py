@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def range_joins(d):
     """Joins of the optimised plan that compare rows by a range."""
     plan = d._jdf.queryExecution().optimizedPlan().toString()
-    return [x for x in plan.split("\n") if "Join " in x and ("<=" in x or ">=" in x)]
+    return [x for x in plan.split("\n") if "Join " in x and "_re#" in x]
 
 
 def dense(spark, n, width=3):
@@ -32,3 +32,54 @@ def test_regions_make_no_pairs(spark, how):
     ids = {x["site_id"] for x in (got.where(F.array_contains("filters", "M")) if how == "mask" else got).collect()}
     assert ids == (set(range(4000)) - hit if how == "anti" else hit)
     assert not range_joins(got)
+
+
+def made_pairs(d):
+    """Rows of the largest join of a frame that was collected."""
+    d.write.format("noop").mode("overwrite").save()
+    return max((int(x) for x in _rows_of_joins(d)), default=0)
+
+
+def _rows_of_joins(d):
+    plan = d._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    text = [plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while text:
+        p = text.pop()
+        if p.getClass().getSimpleName() in ("ShuffleQueryStageExec", "BroadcastQueryStageExec"):
+            p = p.plan()
+        if "Join" in p.getClass().getSimpleName():
+            yield p.metrics().apply("numOutputRows").value()
+        children = p.children()
+        text += [children.apply(i) for i in range(children.size())]
+
+
+def test_overlaps_of_dense_sites_make_few_pairs(spark):
+    from siteloom.operators.joins import overlap_min_qual
+
+    s = dense(spark, 3000)
+    rows = [(r["chrom"], r["pos"], r["pos"] + len(r["ref"]) - 1, (r["qual"], -r["pos"], -r["site_id"]), r["site_id"]) for r in s.collect()]
+    best = {}
+    for c, a, z, q, _ in rows:
+        for p in range(a, z + 1):
+            best[c, p] = max(best.get((c, p), q), q)
+    want = {i for c, a, z, q, i in rows if all(best[c, p] <= q for p in range(a, z + 1))}
+    got = overlap_min_qual(s)
+    assert {r["site_id"] for r in got.collect()} == want
+    assert made_pairs(got) < 10_000
+
+
+def test_frames_of_dense_indels_make_few_pairs(spark):
+    from siteloom.operators.stats import frameshifts
+
+    s = dense(spark, 2000).where("length(ref) > 1")
+    e = spark.range(1000).select(F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("chrom"), (1 + F.col("id") * 7 % 40).alias("start"), (1 + F.col("id") * 7 % 40 + F.col("id") % 5).alias("end"), F.col("id").alias("name"))
+    exons = e.collect()
+    want = set()
+    for r in s.collect():
+        stop = r["pos"] + len(r["ref"]) - 1
+        near = min(((x["name"], max(0, min(stop, x["end"]) - max(r["pos"] + 1, x["start"]) + 1)) for x in exons if x["chrom"] == r["chrom"] and x["start"] <= stop and x["end"] >= r["pos"]), default=None)
+        want.add((r["site_id"], near and near[0], "na" if near is None else "out" if near[1] % 3 else "in"))
+    got = frameshifts(s, e)
+    assert {(r["site_id"], r["exon"], r["frame"]) for r in got.collect()} == want
+    assert made_pairs(got) < 10_000
