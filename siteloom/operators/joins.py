@@ -64,6 +64,14 @@ def write_input(g: DataFrame, inputs: list[DataFrame], which: int) -> DataFrame:
     return inputs[which].join(ids, "site_id", "left_semi")
 
 
+def records_in(g: DataFrame, inputs: list[DataFrame], which: int, mode: str = "none") -> DataFrame:
+    """All records of one input in the chosen groups, those that are equal within it too."""
+    keys = collapse_key(mode)
+    keyed = inputs[which].select("*", *(k.alias(f"_k{i}") for i, k in enumerate(keys)))
+    wanted = g.where(F.map_contains_key("sites", F.lit(which))).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(("chrom", "pos", "what"))))
+    return keyed.join(wanted, ["_k0", "_k1", "_k2"], "left_semi").select(*inputs[which].columns)
+
+
 def merge_exact(inputs: list[DataFrame]) -> DataFrame:
     """Sites of all inputs by exact alleles: ID union, highest QUAL, FILTER union without PASS, DP sum, number of inputs."""
     rows = reduce(DataFrame.unionByName, [d.withColumn("input", F.lit(i)) for i, d in enumerate(inputs)])
@@ -236,10 +244,14 @@ def overlap_min_qual(sites: DataFrame) -> DataFrame:
     from siteloom.operators.intervals import overlaps
 
     rank = F.struct(F.coalesce("qual", F.lit(0.0)).alias("q"), (-F.col("pos")).alias("p"), (-F.col("site_id")).alias("s"))
-    end = V.end(F.col("pos"), F.col("ref"), F.lit(None))
-    other = sites.select("chrom", F.col("pos").alias("_sl_from"), end.alias("_sl_to"), rank.alias("_sl_other"))
-    met = overlaps(sites.select("site_id", "chrom", "pos", "ref", rank.alias("_sl_rank")), other, F.col("pos"), end, "_sl_from", "_sl_to")
-    return sites.join(met.where("_sl_other > _sl_rank").select("site_id").distinct(), "site_id", "left_anti")
+    # sites of one span count once, by the highest of them
+    ranked = sites.withColumn("_sl_to", V.end(F.col("pos"), F.col("ref"), F.lit(None))).withColumn("_sl_rank", rank)
+    spans = ranked.groupBy("chrom", "pos", "_sl_to").agg(F.max("_sl_rank").alias("_sl_best"))
+    other = spans.select("chrom", F.col("pos").alias("_sl_from"), F.col("_sl_to").alias("_sl_until"), F.col("_sl_best").alias("_sl_other"))
+    met = overlaps(spans.select("chrom", "pos", "_sl_to"), other, F.col("pos"), F.col("_sl_to"), "_sl_from", "_sl_until")
+    top = met.groupBy("chrom", "pos", "_sl_to").agg(F.max("_sl_other").alias("_sl_other"))
+    out = ranked.join(top, ["chrom", "pos", "_sl_to"], "left")
+    return out.where("_sl_other is null or _sl_rank >= _sl_other").select(*sites.columns)
 
 
 def concat(inputs: list[DataFrame], drop: str | None = None) -> DataFrame:
@@ -266,6 +278,17 @@ def sort_sites(sites: DataFrame, names: bool = False) -> DataFrame:
     return sites.orderBy("chrom" if names else "contig_rank", "pos", F.lower("ref"), F.lower(F.array_join("alts", ",")), "site_id")
 
 
+def numbered(ordered: DataFrame, path: str) -> DataFrame:
+    """Adds ``nth``, from 1, to a frame that was sorted as a whole: its partitions are written to ``path`` once, and what came before each is summed over partitions."""
+    ordered.withColumn("_sl_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = ordered.sparkSession.read.parquet(path).withColumn("_sl_part", F.call_function("shiftright", F.col("_sl_at"), F.lit(33)))
+    n = rows.groupBy("_sl_part").agg(F.count("*").alias("_sl_n"))
+    before = F.coalesce(F.sum("_sl_n").over(Window.orderBy("_sl_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each partition
+    out = rows.join(F.broadcast(n.select("_sl_part", before.alias("_sl_before"))), "_sl_part")
+    return out.withColumn("nth", F.col("_sl_before") + F.col("_sl_at").bitwiseAND((1 << 33) - 1) + 1).drop("_sl_part", "_sl_before", "_sl_at")
+
+
 def top_local_alleles(probabilities: DataFrame, k: int) -> DataFrame:
     """The ``k`` likeliest ALTs (site_id, sample, allele, p) of each sample; the lower index of equal ones."""
     w = Window.partitionBy("site_id", "sample").orderBy(F.desc("p"), "allele")

@@ -83,3 +83,24 @@ def test_frames_of_dense_indels_make_few_pairs(spark):
     got = frameshifts(s, e)
     assert {(r["site_id"], r["exon"], r["frame"]) for r in got.collect()} == want
     assert made_pairs(got) < 10_000
+
+
+def test_records_of_groups_with_equal_ones(spark):
+    from siteloom.operators import joins as J
+
+    s = dense(spark, 400)
+    other = s.where("pos < 20 and site_id % 3 = 0")
+    keys = {(r["chrom"], r["pos"], r["ref"]) for r in other.collect()}
+    want = sorted(r["site_id"] for r in s.collect() if (r["chrom"], r["pos"], r["ref"]) in keys)
+    g = J.in_at_least(J.groups([s, other]), 2)
+    assert sorted(r["site_id"] for r in J.records_in(g, [s, other], 0).collect()) == want
+    assert len(want) > len(keys)
+
+
+def test_numbers_are_of_the_sorted_frame(spark, tmp_path):
+    from siteloom.operators import joins as J
+
+    s = dense(spark, 1000)
+    want = sorted((r["chrom"], r["pos"], r["ref"].lower(), ",".join(r["alts"]).lower(), r["site_id"]) for r in s.collect())
+    got = J.numbered(J.sort_sites(s, names=True).select("site_id"), str(tmp_path / "sorted")).orderBy("nth").collect()
+    assert [r["site_id"] for r in got] == [w[4] for w in want] and [r["nth"] for r in got] == list(range(1, 1001))
