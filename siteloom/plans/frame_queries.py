@@ -396,13 +396,7 @@ def concat_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT site_id, row_number() OVER (ORDER BY chrom, pos, lower(ref), lower(array_to_string(alts, ',')), site_id) AS nth FROM site")
 def sort_by_name(spark: SparkSession, d: str) -> DataFrame:
-    rows = J.sort_sites(sites(spark, d), names=True).select("site_id", "chrom", "pos")
-    # numbered by ranges, as positions are by chunks
-    from pyspark.sql import Window
-
-    ranked = rows.groupBy("chrom").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("chrom").orderBy("pos", "site_id")
-    return rows.withColumn("k", F.row_number().over(inside)).join(ranked, "chrom").select("site_id", (F.col("k") + F.col("before")).alias("nth"))
+    return J.numbered(J.sort_sites(sites(spark, d), names=True).select("site_id"), scratch_path(spark, "sorted")).select("site_id", F.col("nth").cast("long").alias("nth"))
 
 
 @query("SELECT chrom, pos, CASE WHEN 2 = 2 THEN ref || '>' || array_to_string(alts, ',') END AS what, '11' AS inputs FROM site s WHERE EXISTS (SELECT 1 FROM site2 t WHERE t.chrom = s.chrom AND t.pos = s.pos AND t.ref = s.ref AND t.alts = s.alts)")
@@ -411,9 +405,12 @@ def isec_files(spark: SparkSession, d: str) -> DataFrame:
     inputs = [bare(sites(spark, d)), bare(second_input(spark, d))]
     h = header_of(spark, d).with_samples()
     sinks.write_intersection_files(inputs, [h, h], path, 2)
-    back = bgzf.read_vcf_gz(spark, f"{path}/0001")[1].select("chrom", "pos")
-    seen = spark.read.option("sep", "\t").csv(f"{path}/sites").toDF("chrom", "pos", "what", "inputs").withColumn("pos", F.col("pos").cast("long"))
-    return seen.join(back.distinct(), ["chrom", "pos"], "left_semi").select("chrom", "pos", "what", "inputs")
+    # by the text of the alleles as it stands in the files
+    first, second = (bgzf.read_vcf_gz(spark, f"{path}/000{i}")[1].groupBy(*J.collapse_key()).agg(F.count("*").alias(f"n{i}")) for i in (0, 1))
+    seen = spark.read.option("sep", "\t").csv(f"{path}/sites", schema="chrom string, pos long, what string, inputs string")
+    at = ["chrom", "pos", "what"]
+    met = seen.join(first, at).join(second, at)
+    return met.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("n0").cast("int")))).select(*at, "inputs")
 
 
 # computed tags and consequences

@@ -61,7 +61,7 @@ def write_intersection_files(inputs: list[DataFrame], headers: list[Header], pat
     bits = F.concat(*(F.map_contains_key("sites", F.lit(i)).cast("int").cast("string") for i in range(len(inputs))))
     g.select("chrom", "pos", "what", bits.alias("inputs")).write.option("sep", "\t").csv(f"{path}/sites")
     for i, (d, h) in enumerate(zip(inputs, headers, strict=True)):
-        write_sites(J.write_input(g, inputs, i) if "info" in d.columns else d, h, f"{path}/{i:04d}", output)
+        write_sites(J.records_in(g, inputs, i, mode) if "info" in d.columns else d, h, f"{path}/{i:04d}", output)
     lines = ["Records of each input in groups found in enough inputs:", *(f"{i:04d}\tinput {i + 1}" for i in range(len(inputs))), "sites\tgroups, with 1 for each input that has them"]
     inputs[0].sparkSession.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{path}/README.txt")
 
