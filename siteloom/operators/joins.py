@@ -213,24 +213,38 @@ def split_at_breaks(blocks: DataFrame) -> DataFrame:
 
 
 def ld_r2(gt: DataFrame, sites: DataFrame, window: int) -> DataFrame:
-    """(a, b, r2) of sites of a contig at most ``window`` bases apart, from called ALT copies of shared samples."""
+    """(a, b, r2) of sites of a contig at most ``window`` bases apart, from called ALT copies of shared samples.
+
+    A site carries its calls as bits by ``sample_id`` (from 1), 64 to a word: who is called, and the binary digits of their copies. Sums over the samples of a pair
+    are counts of common bits, so a pair is made in the join and goes to no further shuffle.
+    """
+    copies = F.size(F.filter("alleles", lambda x: x > 0))
+    calls = gt.where(~G.any_missing(F.col("alleles"))).select("site_id", (F.col("sample_id") - 1).alias("_at"), copies.alias("_x"))
+    most = calls.agg(F.max("_at").alias("at"), F.max("_x").alias("x")).first()
+    words, digits = (most["at"] or 0) // 64 + 1, max(1, int(most["x"] or 0).bit_length())
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_at") % 64).cast("int"))
+    mask = lambda w, hit: F.coalesce(F.bit_or(F.when((F.floor(F.col("_at") / 64) == w) & hit, bit)), F.lit(0).cast("long"))
+    digit = lambda j: F.call_function("shiftright", F.col("_x"), F.lit(j)).bitwiseAND(1) == 1
+    names = ["c", *(f"d{j}" for j in range(digits))]
+    per = calls.groupBy("site_id").agg(*(F.array(*(mask(w, F.lit(True) if k == "c" else digit(int(k[1:]))) for w in range(words))).alias(k) for k in names))
     # a pair meets in the first one's bin of the window's length; the second is in that bin or the next
     at = F.floor(F.col("pos") / window)
-    mine = sites.select(F.col("site_id").alias("a"), "chrom", at.alias("_bin"), F.col("pos").alias("pa"))
-    theirs = sites.select(F.col("site_id").alias("b"), "chrom", F.explode(F.array(at, at - 1)).alias("_bin"), F.col("pos").alias("pb"))
-    pairs = mine.join(theirs, ["chrom", "_bin"]).where("(pb > pa or (pb = pa and b > a)) and pb - pa <= %d" % window).select("a", "b")
-    copies = F.struct("sample", F.size(F.filter("alleles", lambda x: x > 0)).cast("long").alias("x"))
-    per = gt.where(~G.any_missing(F.col("alleles"))).groupBy("site_id").agg(F.map_from_entries(F.collect_list(copies)).alias("m"))
-    d = pairs.join(per.toDF("a", "ma"), "a").join(per.toDF("b", "mb"), "b")  # a row for each pair, with all its samples
-    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-    def add(acc: Column, e: Column) -> Column:
-        x, y = e["value"], F.try_element_at("mb", e["key"])
-        more = (F.lit(1).cast("long"), x, y, x * x, y * y, x * y)
-        return F.when(y.isNull(), acc).otherwise(F.struct(*((acc[k] + v).alias(k) for k, v in zip(names, more, strict=True))))
-
-    zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in names))
-    m = d.select("a", "b", F.aggregate(F.map_entries("ma"), zero, add).alias("s")).select("a", "b", "s.*")
+    called = sites.select("site_id", "chrom", "pos").join(per, "site_id")
+    mine = called.select(F.col("site_id").alias("a"), "chrom", at.alias("_bin"), F.col("pos").alias("pa"), *(F.col(k).alias(f"a{k}") for k in names))
+    theirs = called.select(F.col("site_id").alias("b"), "chrom", F.explode(F.array(at, at - 1)).alias("_bin"), F.col("pos").alias("pb"), *(F.col(k).alias(f"b{k}") for k in names))
+    pairs = mine.join(theirs, ["chrom", "_bin"]).where("(pb > pa or (pb = pa and b > a)) and pb - pa <= %d" % window)
+
+    def common(*columns: str) -> Column:
+        both = lambda w: reduce(Column.bitwiseAND, [F.get(c, F.lit(w)) for c in columns])
+        return reduce(Column.__add__, [F.bit_count(both(w)).cast("long") for w in range(words)])
+
+    each = range(digits)
+    total = lambda terms: reduce(Column.__add__, [t * (1 << k) for k, t in terms])
+    m = pairs.select(
+        "a", "b", common("ac", "bc").alias("n"), total([(j, common(f"ad{j}", "bc")) for j in each]).alias("sx"), total([(j, common(f"bd{j}", "ac")) for j in each]).alias("sy"),
+        total([(j + k, common(f"ad{j}", f"ad{k}", "bc")) for j in each for k in each]).alias("sxx"), total([(j + k, common(f"bd{j}", f"bd{k}", "ac")) for j in each for k in each]).alias("syy"),
+        total([(j + k, common(f"ad{j}", f"bd{k}")) for j in each for k in each]).alias("sxy"),
+    )
     c = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     return m.where((vx > 0) & (vy > 0)).select("a", "b", ((c * c) / (vx * vy)).alias("r2"))

@@ -104,3 +104,24 @@ def test_numbers_are_of_the_sorted_frame(spark, tmp_path):
     want = sorted((r["chrom"], r["pos"], r["ref"].lower(), ",".join(r["alts"]).lower(), r["site_id"]) for r in s.collect())
     got = J.numbered(J.sort_sites(s, names=True).select("site_id"), str(tmp_path / "sorted")).orderBy("nth").collect()
     assert [r["site_id"] for r in got] == [w[4] for w in want] and [r["nth"] for r in got] == list(range(1, 1001))
+
+
+def test_ld_pairs_are_made_last_for_any_number_of_samples(spark):
+    from siteloom.operators.joins import ld_r2
+
+    s = dense(spark, 60)
+    call = lambda i, k: None if (i * 5 + k) % 9 == 0 else [(i + k) % 3 % 2, (i * k) % 5 % 2]
+    g = spark.createDataFrame([(i, k, f"N{k}", call(i, k)) for i in range(60) for k in range(1, 131) if call(i, k)], "site_id long, sample_id int, sample string, alleles array<int>")
+    rows, want = s.select("site_id", "chrom", "pos").collect(), {}
+    for a in rows:
+        for b in rows:
+            if a["chrom"] == b["chrom"] and b["pos"] - a["pos"] <= 9 and (b["pos"], b["site_id"]) > (a["pos"], a["site_id"]):
+                xy = [(sum(call(a["site_id"], k)), sum(call(b["site_id"], k))) for k in range(1, 131) if call(a["site_id"], k) and call(b["site_id"], k)]
+                n, sx, sy = len(xy), sum(x for x, _ in xy), sum(y for _, y in xy)
+                vx, vy = n * sum(x * x for x, _ in xy) - sx * sx, n * sum(y * y for _, y in xy) - sy * sy
+                if vx > 0 and vy > 0:
+                    want[a["site_id"], b["site_id"]] = (n * sum(x * y for x, y in xy) - sx * sy) ** 2 / (vx * vy)
+    got = ld_r2(g, s, 9)
+    assert {(r["a"], r["b"]): r["r2"] for r in got.collect()} == pytest.approx(want)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert "_bin#" in joins[0]
