@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bases in a reference chunk.
 CHUNK = 1 << 16
+#: Bases in a piece of a chunk, where a row is joined for few bases.
+PIECE = 1 << 8
 
 
 class ReferenceMismatch(ValueError):
@@ -65,7 +67,9 @@ def fasta_lines(sequences: DataFrame, width: int = 60) -> DataFrame:
 
 
 def bases_at(sites: DataFrame, reference: DataFrame, length: int = 1) -> DataFrame:
-    """Adds ``base``: ``length`` reference bases from each site's position, by an equi-join on chunks."""
-    chunk = (F.floor((F.col("pos") - 1) / CHUNK) * CHUNK + 1).cast("long")
-    d = sites.withColumn("chunk_start", chunk).join(reference, ["chrom", "chunk_start"], "left")
-    return d.withColumn("base", F.upper(F.substring("bases", (F.col("pos") - F.col("chunk_start") + 1).cast("int"), F.lit(length)))).drop("bases", "chunk_start")
+    """Adds ``base``: ``length`` reference bases from each site's position, within its chunk. An equi-join on short pieces of chunks, so that no site carries a chunk."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(CHUNK - PIECE), F.lit(PIECE)))
+    pieces = reference.where((F.col("chunk_start") - 1) % CHUNK == 0).select("chrom", "chunk_start", "bases", at.alias("_sl_i"))
+    pieces = pieces.select("chrom", (F.col("chunk_start") + F.col("_sl_i")).cast("long").alias("_sl_at"), F.substring("bases", F.col("_sl_i") + 1, F.lit(PIECE + length - 1)).alias("_sl_bases"))
+    d = sites.withColumn("_sl_at", (F.floor((F.col("pos") - 1) / PIECE) * PIECE + 1).cast("long")).join(pieces, ["chrom", "_sl_at"], "left")
+    return d.withColumn("base", F.upper(F.substring("_sl_bases", (F.col("pos") - F.col("_sl_at") + 1).cast("int"), F.lit(length)))).drop("_sl_bases", "_sl_at")
