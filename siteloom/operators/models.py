@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import genotypes as G
@@ -116,26 +117,32 @@ def parental_origin(gt: DataFrame, trios: list[tuple[str, str, str]]) -> DataFra
 def prune(sites: DataFrame, window: int, most: int, keep: str = "first") -> DataFrame:
     """At most ``most`` sites in any ``window`` bases: in order of position, a site that would be one too many goes (or with ``maxqual``, the lowest QUAL).
 
-    What stays depends on what went before within reach only, so islands of sites closer than the window are worked through apart.
+    What stays depends on what went before within reach only, so islands of sites closer than the window are worked through apart. Of a position's sites only the first
+    (or best) ``most`` can stay, so no others are walked; Python takes an island batch by batch and holds what is within the window.
     """
-    d = islands(sites, "_island", F.col("pos"), window).select("chrom", "_island", "site_id", "pos", F.coalesce("qual", F.lit(0.0)).alias("q"))
+    d = sites.select("chrom", "site_id", "pos", F.coalesce("qual", F.lit(0.0)).alias("q"))
+    first = ["site_id"] if keep == "first" else [F.desc("q"), F.desc("site_id")]
+    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("chrom", "pos").orderBy(*first))).where(F.col("_nth") <= most).drop("_nth")
+    d = islands(d, "_island", F.col("pos"), window).select("chrom", "_island", "site_id", "pos", "q")
     n = d.groupBy("chrom", "_island").agg(F.count("*").alias("_n"))
     d = d.join(n, ["chrom", "_island"])
 
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, float, int]] = []
-        gone: set[int] = set()
-        for pos, name, q in p.sort_values(["pos", "site_id"])[["pos", "site_id", "q"]].itertuples(index=False):
-            held = [h for h in held if pos - h[0] < window]
-            held.append((pos, q, name))
-            if len(held) > most:
-                out = held[-1] if keep == "first" else min(held, key=lambda h: (h[1], -h[0]))
-                held.remove(out)
-                gone.add(out[2])
-        return p.loc[~p["site_id"].isin(gone), ["site_id"]]
+        island = None
+        for p in parts:
+            kept = []
+            for chrom, nth, name, pos, q in p[["chrom", "_island", "site_id", "pos", "q"]].itertuples(index=False):
+                near = [h for h in held if (chrom, nth) == island and pos - h[0] < window]
+                kept += [h[2] for h in held if h not in near]
+                held, island = [*near, (pos, q, name)], (chrom, nth)
+                if len(held) > most:
+                    held.remove(held[-1] if keep == "first" else min(held, key=lambda h: (h[1], -h[0])))
+            yield pd.DataFrame({"site_id": kept}, dtype="int64")
+        yield pd.DataFrame({"site_id": [h[2] for h in held]}, dtype="int64")
 
     few = d.where(F.col("_n") <= most).select("site_id")
-    many = d.where(F.col("_n") > most).groupBy("chrom", "_island").applyInPandas(walk, "site_id long")
+    many = d.where(F.col("_n") > most).repartition("chrom", "_island").sortWithinPartitions("chrom", "_island", "pos", "site_id").mapInPandas(walk, "site_id long")
     return sites.join(few.union(many), "site_id", "left_semi")
 
 

@@ -20,6 +20,21 @@ def plan_of(d):
     return d._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("keep", ["first", "maxqual"])
+def test_pruning_walks_few_sites_of_a_position(spark, keep):
+    s = spark.range(3000).select(F.col("id").alias("site_id"), F.lit("c").alias("chrom"), (1 + F.col("id") * 7 % 40 + F.when(F.col("id") % 2 == 0, 500).otherwise(0)).alias("pos"), (F.col("id") * 11 % 13).cast("double").alias("qual"))
+    held, gone = [], set()
+    for pos, name, q in sorted((r["pos"], r["site_id"], r["qual"]) for r in s.collect()):
+        held = [h for h in held if pos - h[0] < 10] + [(pos, q, name)]
+        if len(held) > 2:
+            out = held[-1] if keep == "first" else min(held, key=lambda h: (h[1], -h[0]))
+            held.remove(out)
+            gone.add(out[2])
+    got = models.prune(s, 10, 2, keep)
+    assert {r["site_id"] for r in got.collect()} == set(range(3000)) - gone
+    assert "FlatMapGroupsInPandas" not in plan_of(got) and "_nth" in plan_of(got)
+
+
 def test_sites_are_joined_with_pieces_of_chunks(spark):
     bases = "".join("ACGT"[i * i % 7 % 4] for i in range(1000))
     ref = spark.createDataFrame([("c", 1, bases)], "chrom string, chunk_start long, bases string")
