@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import genotypes as G
 from siteloom.functions import prob
 from siteloom.functions import variants as V
+from siteloom.functions.lets import let, number
 
 _LEX = re.compile(
     r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<file>@[\w./-]+)|(?P<name>(?:(?:INFO|FORMAT|FMT)/|/)?%?[A-Za-z_][\w.]*)"""
@@ -195,7 +196,7 @@ def vcf_scope() -> Scope:
 
 
 def _number(v: Column, kind: str) -> Column:
-    return v.cast("double") if kind == "num" else v.try_cast("double")
+    return v.cast("double") if kind == "num" else number(v)
 
 
 def _number_array(v: Value) -> Column:
@@ -381,29 +382,27 @@ class Compiler:
             v = self.value(args[0])
             return Value(F.transform(v.column, F.octet_length) if v.many else F.octet_length(v.column), "num", v.many)
         x = self._numbers(args)
-        size = F.size(x)
-        total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
         if name == "SUM":
-            return Value(total, "num")
+            return Value(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), "num")
         if name == "AVG":
-            return Value(F.when(size > 0, total / size), "num")
+            return Value(let(x, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, e: s + e) / F.size(v))), "num")
         if name in ("MIN", "MAX"):
             return Value(F.array_min(x) if name == "MIN" else F.array_max(x), "num")
         if name == "MEDIAN":
-            s = F.array_sort(x)
-            return Value(F.when(size > 0, (F.get(s, F.floor((size - 1) / 2).cast("int")) + F.get(s, F.floor(size / 2).cast("int"))) / 2), "num")
+            middle = lambda s, size: F.when(size > 0, (F.get(s, F.floor((size - 1) / 2).cast("int")) + F.get(s, F.floor(size / 2).cast("int"))) / 2)
+            return Value(let(F.array_sort(x), lambda s: middle(s, F.size(s))), "num")
         if name == "STDEV":
-            mean = total / size
-            return Value(F.when(size < 2, 0.0).otherwise(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / size)), "num")
+            spread = lambda v, mean: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + (e - mean) * (e - mean)) / F.size(v))
+            return Value(let(x, lambda v: F.when(F.size(v) < 2, 0.0).otherwise(let(F.aggregate(v, F.lit(0.0), lambda s, e: s + e) / F.size(v), lambda m: spread(v, m)))), "num")
         if name in ("ABS", "PHRED"):
             v = self.value(args[0])
             f = (lambda c: F.abs(_number(c, v.kind))) if name == "ABS" else (lambda c: F.least(-4.3429 * F.ln(_number(c, v.kind)), F.lit(99.0)))
             return Value(F.transform(v.column, f) if v.many else f(v.column), "num", v.many)
         if name == "BINOM":
-            return Value(prob.binom_two_sided(F.get(x, F.lit(0)), F.get(x, F.lit(1))), "num")
+            return Value(let(x, lambda v: prob.binom_two_sided(F.get(v, F.lit(0)), F.get(v, F.lit(1)))), "num")
         if name == "FISHER":
             at = (0, 1, 2, 3) if len(args) == 1 else (0, 2, 1, 3)  # two pairs go in as (a0, b0, a1, b1)
-            return Value(prob.fisher_two_sided(*(F.get(x, F.lit(i)) for i in at)), "num")
+            return Value(let(x, lambda v: prob.fisher_two_sided(*(F.get(v, F.lit(i)) for i in at))), "num")
         raise ExpressionError(f"unknown function {name}")
 
     def _passing(self, name: str, args: tuple) -> Value:

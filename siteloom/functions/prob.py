@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteloom.functions.lets import let
+
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 PHRED = 4.34294481903
 
@@ -72,21 +74,36 @@ def _weights(n: Column, ratio, slack: float) -> Column:  # noqa: ANN001
 
 def binom_two_sided(a: Column, b: Column) -> Column:
     """As ``binom_two_sided_value``, in built-in expressions."""
-    a, b = a.cast("int"), b.cast("int")
-    n, k = a + b, F.least(a, b)
-    log_ways = F.aggregate(_steps(k), F.lit(0.0), lambda s, i: s + F.ln((n - k + i) / i))
-    top = F.exp(log_ways - n * math.log(2))
-    below = _weights(k, lambda i: (k - i + 1) / (n - k + i), 0.0)["every"]
-    p = F.least(F.lit(1.0), 2 * top * (1 + below))
-    return F.when(a.isNull() | b.isNull(), None).when(n == 0, -1.0).when(a == b, 1.0).otherwise(p)
+    def tail(few: Column, many: Column) -> Column:
+        """One walk from the case seen to that of no reads: the product of weights on the way is the case's own against that of none."""
+        zero = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("every"), F.lit(0.0).alias("log"))
+
+        def step(acc: Column, i: Column) -> Column:
+            w = acc["w"] * ((few - i + 1) / (many + i))
+            # weights may vanish where counts are large; then logs are added before they do
+            log = F.when(w < 1e-250, acc["log"] + F.ln(w)).otherwise(acc["log"])
+            return F.struct(F.when(w < 1e-250, 1.0).otherwise(w).alias("w"), (acc["every"] + F.when(acc["log"] < 0, 0.0).otherwise(w)).alias("every"), log.alias("log"))
+
+        end = lambda acc: F.exp(-F.ln(acc["w"]) - acc["log"] - (few + many) * math.log(2)) * acc["every"]
+        return F.least(F.lit(1.0), 2 * F.aggregate(_steps(few), zero, step, end))
+
+    def of(v: Column) -> Column:
+        p = tail(F.least(v["a"], v["b"]), F.greatest(v["a"], v["b"]))
+        return F.when(v["a"].isNull() | v["b"].isNull(), None).when(v["a"] + v["b"] == 0, -1.0).when(v["a"] == v["b"], 1.0).otherwise(p)
+
+    return let(F.struct(a.cast("double").cast("int").cast("double").alias("a"), b.cast("double").cast("int").cast("double").alias("b")), of)
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     """As ``fisher_value``: tables are weighed against the one seen, step by step in both directions."""
-    a, b, c, d = (x.cast("double") for x in (a, b, c, d))
+    return let(F.struct(*(x.cast("double").alias(n) for x, n in zip((a, b, c, d), "abcd", strict=True))), lambda v: _fisher(v["a"], v["b"], v["c"], v["d"]))
+
+
+def _fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     up = _weights(F.least(b, c), lambda i: (b - i + 1) * (c - i + 1) / ((a + i) * (d + i)), 1e-7)
     down = _weights(F.least(a, d), lambda i: (a - i + 1) * (d - i + 1) / ((b + i) * (c + i)), 1e-7)
-    return F.when(a + b + c + d > 0, (1 + up["few"] + down["few"]) / (1 + up["every"] + down["every"])).when(a + b + c + d == 0, 1.0)
+    p = let(F.struct(up.alias("up"), down.alias("down")), lambda w: (1 + w["up"]["few"] + w["down"]["few"]) / (1 + w["up"]["every"] + w["down"]["every"]))
+    return F.when(a + b + c + d > 0, p).when(a + b + c + d == 0, 1.0)
 
 
 def _hardy_weinberg(n_ref: Column, n_alt: Column, n_het: Column) -> tuple[Column, Column, Column, Column]:

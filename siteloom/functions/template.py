@@ -16,10 +16,11 @@ from siteloom.functions import expression as E
 from siteloom.functions import genotypes as G
 from siteloom.functions import prob
 from siteloom.functions import variants as V
+from siteloom.functions.lets import let, number
 
 _TOKEN = re.compile(r"%%|%(?P<call>[A-Z_]+)\((?P<arg>(?:[^()]|\([^()]*\))*)\)|%(?P<ns>INFO/|FORMAT/|FMT/|/)?(?P<tag>[A-Za-z_][\w.]*)(?:\{(?P<at>\d+)\})?|\\(?P<esc>[ntr\\])")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\"}
-_dot = lambda c: F.when((c == "") | c.isNull(), ".").otherwise(c)
+_dot = lambda c: let(c, lambda x: F.when((x == "") | x.isNull(), ".").otherwise(x))
 
 
 class TemplateError(ValueError):
@@ -28,7 +29,7 @@ class TemplateError(ValueError):
 
 def number_text(x: Column) -> Column:
     """A number as text: whole ones without a point."""
-    return F.when(x == F.floor(x), x.cast("decimal(20,0)").cast("string")).otherwise(x.cast("string"))
+    return let(x, lambda v: F.when(v == F.floor(v), v.cast("decimal(20,0)").cast("string")).otherwise(v.cast("string")))
 
 
 def _core(tag: str, df: DataFrame) -> Column | None:
@@ -87,8 +88,7 @@ def _tag(name: str, at: str | None, df: DataFrame, sample: Column | None, record
 
 def _skewed_reads(sample: Column, values: Column) -> Column:
     """Phred-scaled P that a diploid call's two alleles have equal shares of ``values``: 0 for equal counts, 99 at most, missing without reads or a call."""
-    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  a value that is used more than once is computed once
-    number = lambda i: F.get(values, F.get(sample["alleles"], F.lit(i))).try_cast("int")
+    count = lambda i: number(F.get(values, F.get(sample["alleles"], F.lit(i))), "int")
 
     def score(p: Column) -> Column:
         return F.when(p >= 1, 0.0).when(p <= 0, 99.0).otherwise(-prob.PHRED * F.ln(p))
@@ -98,16 +98,21 @@ def _skewed_reads(sample: Column, values: Column) -> Column:
         text = let(let(prob.binom_two_sided(a, b), score), lambda x: significant(x))
         return F.when(a.isNotNull() & b.isNotNull() & (a + b > 0), text)
 
-    return F.when(F.size(sample["alleles"]) == 2, let(F.struct(number(0).alias("a"), number(1).alias("b")), of))
+    return F.when(F.size(sample["alleles"]) == 2, let(F.struct(count(0).alias("a"), count(1).alias("b")), of))
 
 
 def significant(x: Column, digits: int = 6) -> Column:
     """A number as text to so many significant digits, without trailing zeros."""
     before = F.when(F.abs(x) >= 1, F.floor(F.log10(F.abs(x))).cast("int") + 1).otherwise(0)
-    text = F.lit(None).cast("string")
-    for n in range(digits + 1):
-        text = F.when(F.greatest(digits - before, F.lit(0)) == n, F.format_string(f"%.{n}f", x)).otherwise(text)
-    text = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
+    places = F.greatest(digits - before, F.lit(0))
+
+    def shown(p: Column) -> Column:
+        text = F.lit(None).cast("string")
+        for n in range(digits + 1):
+            text = F.when(p == n, F.format_string(f"%.{n}f", x)).otherwise(text)
+        return text
+
+    text = let(let(places, shown), lambda t: F.when(t.contains("."), F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))).otherwise(t))
     return F.when(x == F.floor(x), x.cast("decimal(20,0)").cast("string")).otherwise(text)
 
 

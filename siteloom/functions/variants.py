@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteloom.functions.lets import let
+
 # Bits of the variant classes.
 REF, SNP, MNP, INDEL, OTHER, BND, OVERLAP, INS, DEL = 0, 1, 2, 4, 8, 16, 32, 64, 128
 LABELS = ((SNP, "snp"), (MNP, "mnp"), (INDEL, "indel"), (OTHER, "other"), (BND, "bnd"), (OVERLAP, "overlap"))
@@ -27,13 +29,13 @@ def allele_class(ref: Column, alt: Column) -> Column:
 
 def variant_class(ref: Column, alts: Column) -> Column:
     """Bits of a site: those of all its ALTs."""
-    return F.aggregate(alts, F.lit(REF), lambda out, a: out.bitwiseOR(allele_class(ref, a)))
+    return let(ref, lambda r: F.aggregate(alts, F.lit(REF), lambda out, a: out.bitwiseOR(allele_class(r, a))))
 
 
 def class_label(bits: Column) -> Column:
     """Comma-separated names; ``ref`` if none."""
-    named = F.array_join(F.array_compact(F.array(*(F.when(bits.bitwiseAND(b) != 0, n) for b, n in LABELS))), ",")
-    return F.when(bits == REF, "ref").otherwise(named)
+    named = lambda x: F.array_join(F.array_compact(F.array(*(F.when(x.bitwiseAND(b) != 0, n) for b, n in LABELS))), ",")
+    return let(bits, lambda x: F.when(x == REF, "ref").otherwise(named(x)))
 
 
 def stats_class(ref: Column, alt: Column) -> Column:

@@ -20,6 +20,18 @@ def plan_of(d):
     return d._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_values_in_expressions_are_computed_once(spark):
+    d = spark.createDataFrame([([8, 3],), ([0, 0],), ([5, 5],), ([1500, 1300],), ([0, 2000],)], "ad array<int>")
+    got = d.select("ad", compile_value("BINOM(AD[0],AD[1])").alias("p"))
+    assert [r["p"] for r in got.collect()] == pytest.approx([prob.binom_two_sided_value(*r["ad"]) for r in got.collect()], rel=1e-6)
+    four = spark.createDataFrame([([5, 3, 9, 2],)], "pl array<int>").select(compile_value("FISHER(PL)").alias("p"))
+    assert four.first()["p"] == pytest.approx(prob.fisher_value(5, 3, 9, 2))
+    sites = spark.createDataFrame([("A", ["C"]), ("A", ["AT", "<DEL>"]), ("AC", ["A"]), ("A", [])], "ref string, alts array<string>")
+    label = sites.select(V.class_label(V.variant_class(F.col("ref"), F.col("alts"))).alias("c"))
+    assert [r["c"] for r in label.collect()] == ["snp", "indel,other", "indel", "ref"]
+    assert plan_of(got).count("ad#") < 8 and plan_of(four).count("pl#") < 8 and plan_of(label).count("aggregate(") == 1
+
+
 @pytest.mark.parametrize("keep", ["first", "maxqual"])
 def test_pruning_walks_few_sites_of_a_position(spark, keep):
     s = spark.range(3000).select(F.col("id").alias("site_id"), F.lit("c").alias("chrom"), (1 + F.col("id") * 7 % 40 + F.when(F.col("id") % 2 == 0, 500).otherwise(0)).alias("pos"), (F.col("id") * 11 % 13).cast("double").alias("qual"))
