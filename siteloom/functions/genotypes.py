@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteloom.functions.lets import number
+
 
 def called(a: Column) -> Column:
     return F.filter(a, lambda x: x.isNotNull())
@@ -55,7 +57,7 @@ def view_class(a: Column) -> Column:
 
 def parse(text: Column) -> Column:
     """``0/1``, ``0|1``, ``.`` to an array of indices; ``.`` is null."""
-    return F.transform(F.split(text, "[/|]"), lambda x: x.try_cast("int"))
+    return F.transform(F.split(F.replace(text, F.lit("|"), F.lit("/")), "/"), lambda x: number(x, "int"))
 
 
 def is_phased(text: Column) -> Column:

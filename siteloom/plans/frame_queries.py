@@ -9,6 +9,7 @@ from siteloom.functions import genotypes as G
 from siteloom.functions import prob
 from siteloom.functions import variants as V
 from siteloom.functions.expression import compile_filter, compile_value, vcf_scope
+from siteloom.functions.lets import number
 from siteloom.functions.template import render_sites
 from siteloom.operators import consensus as C
 from siteloom.operators import filters as FL
@@ -358,7 +359,7 @@ def merge_arg(spark: SparkSession, d: str) -> DataFrame:
     other = frame(spark, d, second_input(spark, d)).withColumn("samples", F.transform("samples", lambda s: s.withField("sample", F.concat(s["sample"], F.lit("b")))))
     m = M.merge([a, other], "all", {"FORMAT/AD": "R"})
     alleles = F.concat(F.array("ref"), F.col("alts"))
-    each = F.flatten(F.transform("samples", lambda s: F.zip_with(alleles, s["fmt"]["AD"], lambda x, n: F.struct(s["sample"].alias("sample"), x.alias("allele"), n.try_cast("long").alias("reads")))))
+    each = F.flatten(F.transform("samples", lambda s: F.zip_with(alleles, s["fmt"]["AD"], lambda x, n: F.struct(s["sample"].alias("sample"), x.alias("allele"), number(n, "long").alias("reads")))))
     return m.select("chrom", "pos", F.explode(each).alias("x")).select("chrom", "pos", "x.*").where("reads is not null")
 
 
@@ -485,12 +486,12 @@ SELECT * FROM f"""
 
 def _seen(read: DataFrame) -> DataFrame:
     """What a file that was read back holds, in the columns of the oracle."""
-    number = lambda s, k, i: F.get(s["fmt"][k], F.lit(i)).try_cast("long")
+    value = lambda s, k, i: number(F.get(s["fmt"][k], F.lit(i)), "long")
     total = lambda f: F.aggregate(F.transform("samples", f), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("long")))
-    present = lambda s: number(s, "DP", 0).isNotNull()
+    present = lambda s: value(s, "DP", 0).isNotNull()
     return read.select(
         "chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"), "qual", F.array_join("filters", ";").alias("filter"), F.col("info")["DP"][0].alias("dp"), "end",
-        total(lambda s: number(s, "DP", 0)).alias("sample_dp"), total(lambda s: number(s, "AD", 1)).alias("alt_reads"), total(lambda s: F.size(G.called(s["alleles"])).cast("long")).alias("an"),
+        total(lambda s: value(s, "DP", 0)).alias("sample_dp"), total(lambda s: value(s, "AD", 1)).alias("alt_reads"), total(lambda s: F.size(G.called(s["alleles"])).cast("long")).alias("an"),
         F.size(F.filter("samples", lambda s: present(s) & (s["phased"] | (F.size(s["alleles"]) == 1)))).cast("long").alias("n_phased"),
     )
 

@@ -19,7 +19,7 @@ from siteloom.sources.header import Header, parse_header
 #: Text in a block; the format's limit is 64 KB compressed.
 BLOCK = 0xFF00
 #: Compressed bytes in a range that one task reads.
-RANGE = 1 << 25
+RANGE = 1 << 22
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
@@ -232,7 +232,8 @@ def write_vcf_gz(sites: DataFrame, header: Header, path: str, level: int = 6) ->
     from siteloom.sources.vcf import ordered_lines
 
     text = ("\n".join(header.lines()) + "\n").encode()
-    write_parts(ordered_lines(sites, header), lambda lines: "".join(x + "\n" for x in lines).encode(), path, text, ".vcf.gz", level)
+    with ordered_lines(sites, header) as rows:
+        write_parts(rows, lambda lines: "".join(x + "\n" for x in lines).encode(), path, text, ".vcf.gz", level)
 
 
 def join_parts(path: str, out: str) -> None:

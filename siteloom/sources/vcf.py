@@ -6,22 +6,30 @@ are read whole each; ``bgzf`` reads block-compressed ones in parallel. INFO and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.functions import genotypes as G
+from siteloom.functions.lets import let
 from siteloom.sources.header import Header, parse_header
+from siteloom.sources.scratch import scratch_path
 
 SAMPLES = "array<struct<sample:string,gt_raw:string,alleles:array<int>,phased:boolean,fmt:map<string,array<string>>>>"
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """The header of a file, or of the first of several. Only meta lines are gathered."""
+    """The header of a file, or of the first of several in name order. Only meta lines are gathered, and of other files nothing is read."""
+    names = sorted(spark.read.text(path).inputFiles())
+    plain = len(names) > 1 and not any("%" in n for n in names)
     lines = []
-    for r in spark.read.text(path).where(F.col("value").startswith("#")).toLocalIterator():
-        lines.append(r["value"].rstrip("\r"))
-        if lines[-1].startswith("#CHROM"):
-            break
+    for name in names if plain else [path]:
+        for r in spark.read.text(name).where(F.col("value").startswith("#")).toLocalIterator():
+            lines.append(r["value"].rstrip("\r"))
+            if lines[-1].startswith("#CHROM"):
+                return parse_header(lines)
     return parse_header(lines)
 
 
@@ -46,11 +54,11 @@ def render_info(info: Column) -> Column:
     return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, ".").otherwise(F.array_join(items, ";"))
 
 
-def _samples(fields: Column, names: list[str]) -> Column:
-    keys = F.split(fields[8], ":")
-
+def _samples(fields: Column, keys: Column, names: list[str]) -> Column:
     def one(name: Column, i: Column) -> Column:
-        values = F.split(F.get(fields, i + 9), ":")
+        return let(F.split(F.get(fields, i + 9), ":"), lambda values: of(name, values))
+
+    def of(name: Column, values: Column) -> Column:
         fmt = F.map_from_arrays(keys, F.transform(keys, lambda _, j: F.split(F.coalesce(F.get(values, j), F.lit(".")), ",")))
         at = F.array_position(keys, "GT").cast("int")
         raw = F.when(at > 0, F.get(values, at - 1))
@@ -74,7 +82,7 @@ def parse_lines(lines: DataFrame, header: Header, input_id: int = 0) -> DataFram
     end = F.get(F.try_element_at("info", F.lit("END")), F.lit(0)).try_cast("long")
     out = out.withColumn("end", end)
     if header.samples:
-        out = out.withColumn("format", F.split(f[8], ":")).withColumn("samples", _samples(f, list(header.samples)))
+        out = out.withColumn("format", F.split(f[8], ":")).withColumn("samples", _samples(f, F.col("format"), list(header.samples)))
     else:
         out = out.withColumn("format", F.array().cast("array<string>")).withColumn("samples", F.array().cast(SAMPLES))
     return out.drop("f")
@@ -104,17 +112,23 @@ def render_lines(sites: DataFrame, header: Header) -> DataFrame:
     return sites.select("contig_rank", "pos", "ref", "alts", "site_id", F.concat_ws("\t", *parts).alias("line"))
 
 
-def ordered_lines(sites: DataFrame, header: Header) -> DataFrame:
-    """``line`` of each site, in partitions by ranges of position."""
-    lines = render_lines(sites, header).repartitionByRange("contig_rank", "pos")
-    return lines.sortWithinPartitions("contig_rank", "pos", F.lower("ref"), F.lower(F.array_join("alts", ",")), "site_id").select("line")
+@contextmanager
+def ordered_lines(sites: DataFrame, header: Header) -> Iterator[DataFrame]:
+    """``line`` of each site, in partitions by ranges of position. Ranges are found by a pass of its own, so lines are kept in the shared folder in between."""
+    spark, path = sites.sparkSession, scratch_path(sites.sparkSession, "lines")
+    render_lines(sites, header).write.parquet(path)
+    try:
+        yield spark.read.parquet(path).repartitionByRange("contig_rank", "pos").sortWithinPartitions("contig_rank", "pos", F.lower("ref"), F.lower(F.array_join("alts", ",")), "site_id").select("line")
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def write_vcf(sites: DataFrame, header: Header, path: str, ordered: bool = True, compression: str | None = None) -> None:
     """Part files in position order under ``path``, the header in a first one of its own; together in name order they are one VCF file."""
-    lines = ordered_lines(sites, header) if ordered else render_lines(sites, header)
     options = {"compression": compression} if compression else {}
-    lines.select("line").write.options(**options).text(path)
+    with ordered_lines(sites, header) if ordered else nullcontext(render_lines(sites, header)) as lines:
+        lines.select("line").write.options(**options).text(path)
     jvm, conf = sites.sparkSession.sparkContext._jvm, sites.sparkSession.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000-00-header.vcf")
     out = where.getFileSystem(conf).create(where)

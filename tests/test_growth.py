@@ -20,6 +20,18 @@ def plan_of(d):
     return d._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_the_header_is_read_from_the_first_file_only(spark, tmp_path):
+    (tmp_path / "part-0.vcf").write_text("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n")
+    (tmp_path / "part-1.vcf.gz").write_bytes(b"no gzip" * 1000)
+    assert vcf.read_header(spark, str(tmp_path)).version == "4.2"
+
+
+def test_missing_values_are_not_cast(spark):
+    d = spark.createDataFrame([("0/.",), ("1|2",), (".",), ("x/1",)], "gt string").select(G.parse(F.col("gt")).alias("a"))
+    assert [r["a"] for r in d.collect()] == [[0, None], [1, 2], [None], [None, 1]]
+    assert "[/|]" not in plan_of(d) and "= ." in plan_of(d)
+
+
 def test_values_in_expressions_are_computed_once(spark):
     d = spark.createDataFrame([([8, 3],), ([0, 0],), ([5, 5],), ([1500, 1300],), ([0, 2000],)], "ad array<int>")
     got = d.select("ad", compile_value("BINOM(AD[0],AD[1])").alias("p"))
