@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SAMPLES = 7
 #: Bases of a contig: sites lie from 1 to it.
 CONTIG = 100000
+#: Bytes of a table's files that a task takes after a shuffle, at most.
+PLACE = 1 << 22
 
 
 def _kind(k: Column) -> Column:
@@ -57,9 +59,16 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _clustered(table: DataFrame, key: str) -> DataFrame:
+    """Rows by ``key``, in places whose number grows with the table, so that a task's memory doesn't. Small tables are left to Spark, which joins their places."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = -(-size // PLACE)
+    return table.repartition(n, key) if n > table.sparkSession.sparkContext.defaultParallelism else table.repartition(key)
+
+
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    g = g.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("int").alias("dp"))
+    g = _clustered(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    g = g.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("int").alias("dp"))
     k, p, s, kind = F.col("l_orderkey"), F.col("p"), F.col("s"), _kind(F.col("l_orderkey"))
 
     def allele(x: Column, missing: int) -> Column:

@@ -72,6 +72,14 @@ def test_pruning_walks_few_sites_of_a_position(spark, keep):
     assert "FlatMapGroupsInPandas" not in plan_of(got) and "_nth" in plan_of(got)
 
 
+def test_places_of_genotypes_grow_with_the_table(spark, monkeypatch):
+    before = relations.genotypes(spark, SF)
+    monkeypatch.setattr(relations, "PLACE", 4000)
+    after = relations.genotypes(spark, SF)
+    assert after.rdd.getNumPartitions() > 20
+    assert sorted(map(str, before.collect())) == sorted(map(str, after.collect()))
+
+
 def test_pieces_of_blocks_are_the_pairs_of_one_join(spark):
     block = lambda rows: spark.createDataFrame(rows, "site_id long, chrom string, pos long, ref string, alts array<string>, end long")
     a, b = M.expand_reference_blocks([block([(1, "c", 1, "A", ["<*>"], 9), (2, "c", 20, "A", ["<*>"], 20)]), block([(3, "c", 4, "A", ["<*>"], 6), (4, "c", 8, "A", ["T"], None)])])
